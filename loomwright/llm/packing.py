@@ -18,9 +18,11 @@ table gives no rows; further columns don't matter. Texts are tokenised word by w
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,35 @@ from loomwright.llm.common import Texts, byte_values, text_chunks, written
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose tokens a worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+
+
+#: Punctuation that, after a letter or digit, begins a token of its own whatever follows in the word.
+TAIL = np.zeros(256, bool)
+TAIL[list(b".,;:!?")] = True
+#: Words of these letters alone are one run of letters to the tokenizer, before and after its normalisation.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Words that are tokenised in one text.
+TOGETHER = 500
+
+
+def split_tails(data: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with punctuation after their last letter or digit become two, where that can't change the tokens."""
+    cut = end.copy()
+    for _ in range(4):
+        cut -= (cut > start) & TAIL[data[np.maximum(cut - 1, 0)]]
+    last, before = data[np.maximum(cut - 1, 0)], data[np.maximum(cut - 2, 0)]
+    ascii_letter = ((last | 32) >= 97) & ((last | 32) <= 122) | (last >= 48) & (last <= 57)
+    latin_letter = (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (cut - 1 > start)
+    tail = (cut > start) & (cut < end) & ~TAIL[last] & (ascii_letter | latin_letter)
+    if not tail.any():
+        return start, end, of
+    copies = 1 + tail
+    at = np.cumsum(copies) - copies
+    start2, end2 = np.repeat(start, copies), np.repeat(end, copies)
+    end2[at[tail]] = cut[tail]
+    start2[at[tail] + 1] = cut[tail]
+    return start2, end2, np.repeat(of, copies)
 
 
 class WordTokens:
@@ -42,7 +72,10 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.table = byte_values(7)
+        self.table = byte_values(7, lower=True)  # the tokenizer lowers letters itself
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -50,23 +83,38 @@ class WordTokens:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.counts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, hashes: list[int], words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in found], np.int64)
-        n, total = len(self.known), int(sizes.sum())
-        while self.used + total > len(self.ids):
+    def _store(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while n + len(words) > len(self.starts):
+        while n + len(hashes) > len(self.starts):
             self.starts, self.counts = np.concatenate((self.starts, np.zeros_like(self.starts))), np.concatenate((self.counts, np.zeros_like(self.counts)))
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-        self.counts[n : n + len(words)] = sizes
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
-        self.known.update(zip(hashes, range(n, n + len(words)), strict=True))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.counts[n : n + len(hashes)] = sizes
+        self.starts[n : n + len(hashes)] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+
+    def _add(self, hashes: list[int], words: list[str]) -> None:
+        """Plain words go many to a text: each ends with the one token that closes a word."""
+        plain = [k for k, w in enumerate(words) if PLAIN.fullmatch(w)]
+        rest = sorted(set(range(len(words))).difference(plain))
+        texts = [" ".join(words[k] for k in plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)]
+        for i, found in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            own = plain[i * TOGETHER : (i + 1) * TOGETHER]
+            ids = np.array(found.ids, np.uint32)
+            closed = np.flatnonzero(self.ends[ids]) + 1
+            if len(closed) == len(own) and closed[-1] == len(ids):
+                self._store([hashes[k] for k in own], ids, np.diff(closed, prepend=0))
+            else:
+                rest += own
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)]
+        sizes = np.array([len(x) for x in found], np.int64)
+        self._store([hashes[k] for k in rest], np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes)
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All token ids of the texts, one after another, and where each text's ids start."""
-        start, end, of = texts.words()
+        start, end, of = split_tails(texts.data, *texts.words())
         distinct, first, which = np.unique(texts.hashes(start, end, self.table), return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > CACHED_WORDS:
             self.clear()
@@ -84,13 +132,19 @@ class WordTokens:
         return ids, np.concatenate(([0], np.cumsum(per_text)))
 
 
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for each Python worker, which keeps its words from task to task."""
+    return WordTokens(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 (and the ids)."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokens(tokenizer_path)
+        coder = word_tokens(tokenizer_path)
         for batch in batches:
             for texts in text_chunks(batch.column(1)):
                 ids, starts = coder.encode(texts)
