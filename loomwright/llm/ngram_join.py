@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import U64, Texts, byte_values, columns_of, drop_repeated_rows, mix64, new_path, text_chunks, written
+from loomwright.llm.common import U64, Texts, bucketed, byte_values, columns_of, drop_repeated_rows, mix64, new_path, text_chunks, written
 from loomwright.llm.components import components
 
 #: Ratio of the lower ends of neighbouring size windows.
@@ -156,27 +156,19 @@ def described(docs: DataFrame, n: int, similarity: Fraction, id_col: str, text_c
 
 
 def segments(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document and fragment of the global order: id, part, its shingles there."""
+    """Per document: id and ``segments``, its shingles in each fragment of the global order."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    bounds = np.array([(k << 64) // PARTS for k in range(1, PARTS)], U64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in text_chunks(batch.column(1)):
                 shingles, starts = shingle_sets(texts, n)
-                bounds = [0, *[(k << 64) // PARTS for k in range(1, PARTS)]]
-                of, part, found = [], [], []
-                for k in range(texts.n):
-                    own = shingles[starts[k] : starts[k + 1]]
-                    cuts = [*np.searchsorted(own, np.array(bounds, U64)), len(own)]
-                    for p in range(PARTS):
-                        if cuts[p] < cuts[p + 1]:
-                            of.append(texts.first + k)
-                            part.append(p)
-                            found.append(own[cuts[p] : cuts[p + 1]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(part, pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["id", "part", "segment"])
+                found = [[x.view(np.int64) for x in np.split(own, np.searchsorted(own, bounds))] for own in (shingles[starts[k] : starts[k + 1]] for k in range(texts.n))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, texts.n), pa.array(found, pa.list_(pa.list_(pa.int64())))], ["id", "segments"])
 
-    return rows.mapInArrow(run, f"id {kind}, part int, segment array<long>")
+    return rows.mapInArrow(run, f"id {kind}, segments array<array<long>>")
 
 
 def _may_link(similarity: Fraction, prefix_a: str = "a", prefix_b: str = "b") -> Column:
@@ -190,10 +182,10 @@ def _may_link(similarity: Fraction, prefix_a: str = "a", prefix_b: str = "b") ->
 def _verified(pairs: DataFrame, parts: DataFrame, similarity: Fraction) -> DataFrame:
     """Pairs (a, b) with enough in common: partial overlaps per fragment, summed per pair."""
     num, den = similarity.numerator, similarity.denominator
-    left = parts.select(F.col("id").alias("a"), "part", F.col("segment").alias("s"))
-    right = parts.select(F.col("id").alias("b"), "part", F.col("segment").alias("r"))
-    partial = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "a_size", "b_size", F.size(F.array_intersect("s", "r")).alias("n"))
-    both = partial.groupBy("a", "b", "a_size", "b_size").agg(F.sum("n").alias("n"))
+    left = parts.select(F.col("id").alias("a"), F.col("segments").alias("s"))
+    right = parts.select(F.col("id").alias("b"), F.col("segments").alias("r"))
+    both = pairs.join(left, "a").join(right, "b")
+    both = both.withColumn("n", sum((F.size(F.array_intersect(F.col("s")[k], F.col("r")[k])) for k in range(PARTS)), F.lit(0)))
     return both.where(den * F.col("n") >= num * (F.col("a_size") + F.col("b_size") - F.col("n"))).select("a", "b")
 
 
@@ -224,7 +216,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fract
     while largest and 16 ** (top + 1) < largest:
         top += 1
     facts = facts.withColumn("level", F.least(level, F.lit(top)))
-    parts = written(segments(docs.join(facts.select(F.col("id").alias("__id")), docs[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col]), n, id_col, text_col), "segments") if largest else None
+    chosen = docs.join(facts.select(F.col("id").alias("__id")), docs[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    parts = bucketed(segments(chosen, n, id_col, text_col), "segments", "id") if largest else None
 
     same = table.where("size > 0 and id is not null").join(sets, by_set).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     # Only nodes that have signatures need to be tied to their set's name.
