@@ -1 +1,63 @@
-"""To come."""
+"""Graph queries: orders from customers' to suppliers' nations, and supplier to supplier along part names."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomwright.operators import graphs as G
+from loomwright.plans.registry import query, table
+
+_EDGES = """WITH j AS (SELECT c.c_nationkey AS src, s.s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' AND l_linenumber = 1),
+e AS (SELECT src::BIGINT AS src, dst::BIGINT AS dst, count(*)::DOUBLE AS weight FROM j GROUP BY 1, 2 HAVING count(*) >= 2) """
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation of the customer to nation of the supplier, for returned first lines; at least twice."""
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_linenumber = 1").select("l_orderkey", "l_suppkey")
+    j = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = j.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("src")), F.col("o_custkey") == F.col("c_custkey"))
+    j = j.join(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("dst")), F.col("l_suppkey") == F.col("s_suppkey"))
+    return G.weighted(j.select("src", "dst", F.lit(1).alias("weight")), 2)
+
+
+@query(_EDGES + "SELECT * FROM e")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR-01, SRC-09, AGG-12."""
+    return _edges(spark, sf_dir)
+
+
+@query(_EDGES + "SELECT node, sum(i) AS in_degree, sum(o) AS out_degree FROM (SELECT src AS node, 0 AS i, weight AS o FROM e UNION ALL SELECT dst, weight, 0 FROM e) GROUP BY 1")
+def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR-02, GR-08."""
+    return G.degrees(_edges(spark, sf_dir))
+
+
+@query(_EDGES + "SELECT count(*) AS edges, avg(EXISTS (SELECT 1 FROM e b WHERE b.src = a.dst AND b.dst = a.src)::INT) AS reciprocity, (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS nodes FROM e a WHERE src <> dst")
+def graph_reciprocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR-06."""
+    return G.reciprocity(_edges(spark, sf_dir))
+
+
+@query()
+def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR-03; tests hold it against numpy."""
+    return G.pagerank(_edges(spark, sf_dir))
+
+
+@query()
+def graph_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR-04; tests hold it against path counting."""
+    return G.betweenness(_edges(spark, sf_dir))
+
+
+@query()
+def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR-05, GR-08."""
+    return G.communities(_edges(spark, sf_dir))
+
+
+@query()
+def graph_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR-07."""
+    return G.centrality(_edges(spark, sf_dir))
