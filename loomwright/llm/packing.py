@@ -34,7 +34,7 @@ from loomwright.llm.common import Texts, byte_values, text_chunks, written
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose tokens a worker keeps.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_500_000
 
 
 #: Punctuation that, after a letter or digit, begins a token of its own whatever follows in the word.
