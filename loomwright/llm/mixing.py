@@ -48,10 +48,13 @@ def _apportioned(rows: DataFrame, group: list[str], key: list[Column], weight: s
     rows = rows.withColumn("lack", F.col(seats) - F.sum("q0").over(by))
     steps = F.when(F.col("lack") != 0, F.floor(F.col(weight) / F.col("total") * (F.abs("lack") + F.col("members"))) + 2).otherwise(0)
     rows = rows.withColumn("steps", F.when(F.col("lack") < 0, F.least(steps, F.col("q0"))).when(F.col(weight) > 0, steps).otherwise(0).cast("int"))
+    rows = rows.withColumn("turn", F.row_number().over(by.orderBy(*key)))
     offers = rows.withColumn("step", F.explode(F.expr("case when steps > 0 then sequence(1, steps) else array() end")))
     divisor = F.when(F.col("lack") > 0, 2 * (F.col("q0") + F.col("step")) - 1).otherwise(2 * (F.col("q0") - F.col("step") + 1) - 1)
     quotient = F.col(weight) / divisor * F.signum(F.col("lack").cast("double"))
-    ranked = offers.withColumn("place", F.row_number().over(by.orderBy(quotient.desc(), *key, "step"))).where(F.col("place") <= F.abs("lack"))
+    # Equal quotients go to the first row, so they are taken back from the last one.
+    tie = F.col("turn") * F.signum(F.col("lack").cast("double"))
+    ranked = offers.withColumn("place", F.row_number().over(by.orderBy(quotient.desc(), tie, "step"))).where(F.col("place") <= F.abs("lack"))
     names = [c for c in dict.fromkeys([*group, *[k for k in rows.columns if k in ("src", "shard")]])]
     extra = ranked.groupBy(*names).agg(F.sum(F.signum(F.col("lack").cast("double"))).cast("long").alias("more"))
     on = None
@@ -59,7 +62,7 @@ def _apportioned(rows: DataFrame, group: list[str], key: list[Column], weight: s
     for n in names:
         on = F.col(n).eqNullSafe(F.col(f"x_{n}")) if on is None else on & F.col(n).eqNullSafe(F.col(f"x_{n}"))
     done = rows.join(extra, on, "left").withColumn("quota", F.least(F.col("q0") + F.coalesce("more", F.lit(0)), F.col(cap)))
-    return done.drop(*[f"x_{n}" for n in names], "more", "total", "members", "q0", "lack", "steps")
+    return done.drop(*[f"x_{n}" for n in names], "more", "total", "members", "q0", "lack", "steps", "turn")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
