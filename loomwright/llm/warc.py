@@ -103,7 +103,9 @@ class WarcReader(DataSourceReader):
                 parts += [FilePart(info.path, at, min(at + step, info.size)) for at in range(0, info.size, max(1, step))]
         return parts
 
-    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FilePart | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an empty folder
+            return
         fs, _ = pafs.FileSystem.from_uri(self.path)
         rows: list[dict] = []
         size = 0
