@@ -51,6 +51,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    keep = _groups(docs, id_col, text_col, hash128).select(F.col("keep_id").alias("__keep")).distinct()
-    return drop_repeated_rows(docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi"), id_col)
+    """The documents that stay, with all their columns. Rows without an id stay where no other row has their text, once."""
+    keep = _groups(docs, id_col, text_col, hash128).select(F.col("keep_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
+    own = F.col(f"`{id_col}`")
+    named = docs.where(own.isNotNull()).join(keep.where("__keep is not null"), own == F.col("__keep"), "left_semi")
+    nameless = docs.where(own.isNull()).withColumn("__own", F.sha2(normalised(F.col(f"`{text_col}`")), 256))
+    nameless = nameless.join(keep.where("__keep is null"), F.col("__own") == F.col("__sha"), "left_semi").dropDuplicates(["__own"]).drop("__own")
+    return drop_repeated_rows(named, id_col).unionByName(nameless)

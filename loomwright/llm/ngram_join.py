@@ -253,7 +253,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fract
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that name their component, with all their columns."""
+    """The documents that name their component, with all their columns; rows without an id stay."""
+    own = F.col(f"`{id_col}`")
     found = jaccard_components(docs, n, similarity, id_col, text_col)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    return drop_repeated_rows(docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi"), id_col)
+    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
+    named = docs.where(own.isNotNull()).join(keep, own == F.col("__keep"), "left_semi")
+    return drop_repeated_rows(named, id_col).unionByName(docs.where(own.isNull()))
