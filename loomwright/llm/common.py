@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the scanner holds at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: The white space of the word definitions: space and tab to carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -124,11 +124,13 @@ class Texts:
 
 def text_chunks(array: pa.Array) -> Iterator[Texts]:
     """Cut a string array (null: empty) into chunks of about ``CHUNK_BYTES``; longer texts come alone."""
-    array = array.cast(pa.large_string()).fill_null("")
+    if array.null_count:
+        array = array.fill_null("")
     if not len(array):
         return
+    width = np.int64 if pa.types.is_large_string(array.type) else np.int32
     _, offsets, values = array.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
+    offsets = np.frombuffer(offsets, width)[array.offset : array.offset + len(array) + 1].astype(np.int64)
     data = np.frombuffer(values, np.uint8) if values is not None and values.size else np.zeros(0, np.uint8)
     k = 0
     while k < len(array):

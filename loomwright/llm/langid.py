@@ -35,6 +35,7 @@ PER_LANGUAGE = 1500
 #: Occurrences of an n-gram among a million of its language from which the language is said to contain it.
 PER_MILLION = 30.0
 UNKNOWN = "und"
+SLICE_ROWS = 256
 
 
 def held_out(id_col: Column) -> Column:
@@ -64,7 +65,7 @@ def _grams(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of (language, n-gram)."""
-    for batch in batches:
+    for batch in slices(batches):
         lower = _framed(batch.column("text"))
         languages = batch.column("lang").dictionary_encode()
         codes, names = np.asarray(languages.indices), languages.dictionary
@@ -76,6 +77,13 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shorter batches, as lowering copies a batch's texts several times."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(k, SLICE_ROWS)
+
+
 class MaskFilter:
     """A bit-sliced Bloom filter: ``masks[slot, word]`` has a bit for each language."""
 
@@ -159,7 +167,7 @@ def predict(docs: DataFrame, model: MaskFilter, text_col: str = "text", carry: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         fp = model.false_positives()
-        for batch in batches:
+        for batch in slices(batches):
             labels, scores = _predict_texts(batch.column(0), model, fp)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 

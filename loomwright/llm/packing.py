@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import Texts, byte_values, text_chunks, written
+from loomwright.llm.common import U64, Texts, byte_values, text_chunks, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -79,24 +79,29 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.at = np.zeros(0, U64), np.zeros(0, np.int32)  # sorted hashes, and where their words stand
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.counts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.starts, self.counts, self.words = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
 
-    def _store(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.known)
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keep the ids of some words, one after another; where these words stand."""
+        n, stop = self.words, self.words + len(sizes)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while n + len(hashes) > len(self.starts):
+        while stop > len(self.starts):
             self.starts, self.counts = np.concatenate((self.starts, np.zeros_like(self.starts))), np.concatenate((self.counts, np.zeros_like(self.counts)))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.counts[n : n + len(hashes)] = sizes
-        self.starts[n : n + len(hashes)] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
-        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        self.counts[n:stop] = sizes
+        self.starts[n:stop] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.words = self.used + len(ids), stop
+        return np.arange(n, stop)
 
-    def _add(self, hashes: list[int], words: list[str]) -> None:
-        """Plain words go many to a text: each ends with the one token that closes a word."""
+    def _add(self, words: list[str]) -> np.ndarray:
+        """Where each of these words stands from now on.
+
+        Plain words go many to a text: each ends with the one token that closes a word.
+        """
+        place = np.zeros(len(words), np.int32)
         plain = [k for k, w in enumerate(words) if PLAIN.fullmatch(w)]
         rest = sorted(set(range(len(words))).difference(plain))
         texts = [" ".join(words[k] for k in plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)]
@@ -105,12 +110,13 @@ class WordTokens:
             ids = np.array(found.ids, np.uint32)
             closed = np.flatnonzero(self.ends[ids]) + 1
             if len(closed) == len(own) and closed[-1] == len(ids):
-                self._store([hashes[k] for k in own], ids, np.diff(closed, prepend=0))
+                place[own] = self._store(ids, np.diff(closed, prepend=0))
             else:
                 rest += own
         found = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)]
         sizes = np.array([len(x) for x in found], np.int64)
-        self._store([hashes[k] for k in rest], np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes)
+        place[rest] = self._store(np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes)
+        return place
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All token ids of the texts, one after another, and where each text's ids start."""
@@ -118,14 +124,17 @@ class WordTokens:
         distinct, first, which = np.unique(texts.hashes(start, end, self.table), return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > CACHED_WORDS:
             self.clear()
-        keys = distinct.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
+        slot = np.searchsorted(self.known, distinct)
+        there = slot < len(self.known)
+        there[there] = self.known[slot[there]] == distinct[there]
+        new = np.flatnonzero(~there)
         raw = texts.data.tobytes()
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            self._add([keys[i] for i in part], [raw[start[first[i]] : end[first[i]]].decode("utf-8", "replace") for i in part])
-        index = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))[which]
-        sizes = self.counts[index]
+        places = [self._add([raw[start[i] : end[i]].decode("utf-8", "replace") for i in first[new[k : k + 4096]]]) for k in range(0, len(new), 4096)]
+        if places:
+            self.at = np.insert(self.at, slot[new], np.concatenate(places))
+            self.known = np.insert(self.known, slot[new], distinct[new])
+        index = self.at[np.searchsorted(self.known, distinct)][which]
+        sizes = self.counts[index].astype(np.int64)
         before = np.cumsum(sizes) - sizes
         ids = self.ids[np.repeat(self.starts[index] - before, sizes) + np.arange(int(sizes.sum()))]
         per_text = np.bincount(of, weights=sizes, minlength=texts.n).astype(np.int64)
