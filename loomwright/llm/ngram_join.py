@@ -13,8 +13,8 @@ Links. Documents with equal signatures aren't paired with each other: the one wh
 most is paired with the others (a star), and later rounds pair only documents that are still in different
 components, with leaders drawn by a hash that are sixteen times as many each round, until every document
 has been one. So no link between components is lost and a group of n copies costs about n pairs. A pair
-must pass the size bound and a bound from 512-bit parity sketches (each differing shingle changes one
-bit), both exact. Then partial overlaps are counted fragment by fragment, and summed per pair.
+must pass the size bound and a bound from parity sketches of 512 bits, and of 4096 bits where both sets are
+long (each differing shingle changes one bit); these bounds are exact. Then partial overlaps are counted fragment by fragment, and summed per pair.
 
 Equal sets are one node each from the start. Signatures meet in partially aggregated groups and joins
 that Spark splits where a key is hot.
@@ -43,7 +43,9 @@ from loomwright.llm.components import components
 STEP = 1.3
 #: Fragments in which the overlaps of a pair are counted.
 PARTS = 4
+#: 64-bit words of the sketch of every set, and of the further one of a set of ``LONG`` shingles or more.
 SKETCH_WORDS = 8
+LONG_WORDS, LONG = 64, 800
 
 
 def most_different(total: int, similarity: Fraction) -> int:
@@ -112,10 +114,10 @@ def segment_signatures(own: np.ndarray, window: int, fragments: int, differ: int
     return signature
 
 
-def parity_sketch(own: np.ndarray) -> np.ndarray:
+def parity_sketch(own: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
     """Bit i is the parity of the shingles that hash to it; a differing shingle changes one bit."""
-    at = (mix64(own + U64(99)) & U64(64 * SKETCH_WORDS - 1)).astype(np.int64)
-    bits = (np.bincount(at, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
+    at = (mix64(own + U64(99)) & U64(64 * words - 1)).astype(np.int64)
+    bits = (np.bincount(at, minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
@@ -135,24 +137,26 @@ def described(docs: DataFrame, n: int, similarity: Fraction, id_col: str, text_c
                 # Windows of smaller sizes are the same however large the largest.
                 sums = [np.concatenate((np.zeros(1, U64), np.cumsum(mix64(shingles + U64(k))))) for k in (1, 2)]
                 k1, k2 = ((s[starts[1:]] - s[starts[:-1]]).view(np.int64) for s in sums)
-                sketches, signatures = [], []
+                sketches, longer, signatures = [], [], []
                 for k in range(texts.n):
                     own = shingles[starts[k] : starts[k + 1]]
                     key = (int(k1[k]), int(k2[k]), len(own))
                     if key in seen or not len(own):
                         sketches.append(None)
+                        longer.append(None)
                         signatures.append(None)
                         continue
                     seen.add(key)
                     sketches.append(parity_sketch(own))
+                    longer.append(parity_sketch(own, LONG_WORDS) if len(own) >= LONG else None)
                     inside = np.flatnonzero((windows.low <= len(own)) & (len(own) <= windows.high) & (windows.differ > 0))
                     found = [segment_signatures(own, int(w), int(windows.fragments[w]), int(windows.differ[w])) for w in inside]
                     signatures.append(np.concatenate(found).view(np.int64) if found else None)
                 ids = batch.column(0).slice(texts.first, texts.n)
-                arrays = [ids, pa.array(size), pa.array(k1), pa.array(k2), pa.array(sketches, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "size", "k1", "k2", "sketch", "signatures"])
+                arrays = [ids, pa.array(size), pa.array(k1), pa.array(k2), *[pa.array(x, pa.list_(pa.int64())) for x in (sketches, longer, signatures)]]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "size", "k1", "k2", "sketch", "longer", "signatures"])
 
-    return rows.mapInArrow(run, f"id {kind}, size long, k1 long, k2 long, sketch array<long>, signatures array<long>")
+    return rows.mapInArrow(run, f"id {kind}, size long, k1 long, k2 long, sketch array<long>, longer array<long>, signatures array<long>")
 
 
 def segments(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -171,12 +175,19 @@ def segments(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, segments array<array<long>>")
 
 
-def _may_link(similarity: Fraction, prefix_a: str = "a", prefix_b: str = "b") -> Column:
-    """Exact bounds on a pair: sizes, and the bits in which the sketches differ."""
+def _may_link(similarity: Fraction) -> Column:
+    """Exact bounds on a pair: sizes, and the bits in which the sketches differ; the longer ones only where both have them."""
     num, den = similarity.numerator, similarity.denominator
-    sizes = [F.col(f"{p}_size") for p in (prefix_a, prefix_b)]
-    bits = sum((F.bit_count(F.col(f"{prefix_a}_sketch")[k].bitwiseXOR(F.col(f"{prefix_b}_sketch")[k])) for k in range(SKETCH_WORDS)), F.lit(0))
-    return (den * F.least(*sizes) >= num * F.greatest(*sizes)) & (bits * (num + den) <= (sizes[0] + sizes[1]) * (den - num))
+    sizes = [F.col("a_size"), F.col("b_size")]
+    short = sum((F.bit_count(F.col("a_sketch")[k].bitwiseXOR(F.col("b_sketch")[k])) for k in range(SKETCH_WORDS)), F.lit(0))
+    long = F.expr("aggregate(zip_with(a_longer, b_longer, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v)")
+    fits = lambda bits: bits * (num + den) <= (sizes[0] + sizes[1]) * (den - num)
+    return (den * F.least(*sizes) >= num * F.greatest(*sizes)) & fits(short) & (F.col("a_longer").isNull() | F.col("b_longer").isNull() | fits(long))
+
+
+def _side(rows: DataFrame, side: str, *more: str | Column) -> DataFrame:
+    """The facts of one side of a pair, named after it."""
+    return rows.select(*more, F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("size", "sketch", "longer")])
 
 
 def _verified(pairs: DataFrame, parts: DataFrame, similarity: Fraction) -> DataFrame:
@@ -205,7 +216,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fract
     members = rows.join(groups.select("sig", "weight", F.col("n").alias("members")), "sig")
     members = written(members, "members")
     score = members.groupBy("id").agg(F.sum(F.col("weight") * F.least(F.col("members"), F.lit(1 << 20))).alias("score"))
-    facts = signed.select("id", "size", "sketch").join(score, "id").dropDuplicates(["id"])
+    facts = signed.select("id", "size", "sketch", "longer").join(score, "id").dropDuplicates(["id"])
     facts = written(facts, "candidates")
     largest = members.agg(F.max("members").alias("m")).first()["m"]
     # A level for each document; sixteen times as many have the next lower one.
@@ -230,15 +241,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fract
             if step < 0:
                 best = known.groupBy("sig").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("best"))
                 leaders = best.select("sig", (-F.col("best.minus")).alias("a"))
-                leaders = leaders.join(facts.select(F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("sketch").alias("a_sketch")), "a")
-                others = known.select("sig", F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("sketch").alias("b_sketch"))
+                leaders = leaders.join(_side(facts, "a"), "a")
+                others = _side(known, "b", "sig")
                 pairs = leaders.join(others, "sig").where((F.col("a") != F.col("b")) & _may_link(similarity))
             else:
                 placed = known.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
                 mixed = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-                placed = written(placed.join(mixed, "sig").select("sig", "id", "size", "sketch", "level", "label"), "unsettled")
-                leaders = placed.where(F.col("level") == top - step).select("sig", F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("sketch").alias("a_sketch"), F.col("label").alias("a_label"))
-                others = placed.where(F.col("level") <= top - step).select("sig", F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("sketch").alias("b_sketch"), F.col("label").alias("b_label"))
+                placed = written(placed.join(mixed, "sig").select("sig", "id", "size", "sketch", "longer", "level", "label"), "unsettled")
+                leaders = _side(placed.where(F.col("level") == top - step), "a", "sig", F.col("label").alias("a_label"))
+                others = _side(placed.where(F.col("level") <= top - step), "b", "sig", F.col("label").alias("b_label"))
                 pairs = leaders.join(others, "sig").where((F.col("a_label") != F.col("b_label")) & _may_link(similarity))
             pairs = pairs.select("a", "b", "a_size", "b_size").distinct()
             _verified(pairs, parts, similarity).write.mode("append").parquet(links_path)
