@@ -57,7 +57,7 @@ def classify_memes(metrics: DataFrame) -> DataFrame:
     m = metrics.join(F.broadcast(cut))  # one row
     life, burst, ent, n = (F.coalesce(c, F.lit(0)) for c in ("lifetime_hours", "burst_score", "community_entropy", "communities_touched"))
     first = F.when((life <= 48) & (burst >= F.col("cut")), "flash").when((life >= 168) & (burst < F.col("cut")), "persistent").otherwise("unknown")
-    return m.withColumn("class", F.when((n <= 2) | (ent < 0.5), "local").when((n >= 5) & (ent > 1.5), "cross_submolt".replace("submolt", "community")).otherwise(first)).drop("cut")
+    return m.withColumn("class", F.when((n <= 2) | (ent < 0.5), "local").when((n >= 5) & (ent > 1.5), "cross_community").otherwise(first)).drop("cut")
 
 
 def adoption(rows: DataFrame, meme: str, author: str, time_col: str) -> DataFrame:
