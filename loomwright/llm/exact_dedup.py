@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import columns_of, drop_repeated_rows
+from loomwright.llm.common import columns_of, drop_repeated_rows, written
 
 
 def normalised(text: Column) -> Column:
@@ -52,7 +52,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns. Rows without an id stay where no other row has their text, once."""
-    keep = _groups(docs, id_col, text_col, hash128).select(F.col("keep_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
+    keep = written(_groups(docs, id_col, text_col, hash128).select(F.col("keep_id").alias("__keep"), F.col("text_sha256").alias("__sha")), "kept")
     own = F.col(f"`{id_col}`")
     named = docs.where(own.isNotNull()).join(keep.where("__keep is not null"), own == F.col("__keep"), "left_semi")
     nameless = docs.where(own.isNull()).withColumn("__own", F.sha2(normalised(F.col(f"`{text_col}`")), 256))
