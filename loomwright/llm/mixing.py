@@ -127,10 +127,12 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
     """The mix itself: each document as often as it is taken, and its taken blocks as a shorter text."""
     mixed = _mixed(docs, id_col, text_col, source_col, docs.columns)
-    whole = mixed.withColumn("__times", F.when(F.col("__part") == F.col("__size"), F.col("__rounds") + F.when(F.col("__size") > 0, 1).otherwise(0)).otherwise(F.col("__rounds")))
-    copies = whole.where("__times > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(docs.columns)
-    head = F.array_join(F.slice(F.split(F.regexp_replace(F.col(f"`{text_col}`"), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("__part").cast("int")), " ")
-    cut = mixed.where("__part > 0 and __part < __size").withColumn("__text", head)
+    whole = F.col("__part") == F.col("__size")
+    times = F.col("__rounds") + F.when(F.col("__part") > 0, 1).otherwise(0)
+    copies = mixed.withColumn("__times", times.cast("int")).where("__times > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    words = F.split(F.regexp_replace(F.col(f"`{text_col}`"), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    head = F.array_join(F.slice(words, F.lit(1), F.col("__part").cast("int")), " ")
+    copies = copies.withColumn("__short", F.when((F.col("__k") > F.col("__rounds")) & ~whole, head))
     kinds = dict(docs.dtypes)
-    cut = cut.select(*[F.col("__text").alias(c) if c == text_col else F.length("__text").cast(kinds[c]).alias(c) if c == length_col else F.col(f"`{c}`") for c in docs.columns])
-    return copies.unionByName(cut)
+    value = {text_col: F.coalesce("__short", F.col(f"`{text_col}`")), **({length_col: F.coalesce(F.length("__short").cast(kinds[length_col]), F.col(f"`{length_col}`"))} if length_col in kinds else {})}
+    return copies.select(*[value[c].alias(c) if c in value else F.col(f"`{c}`") for c in docs.columns])
