@@ -6,6 +6,7 @@ object. Its memory is bounded by ``CHUNK_BYTES`` or the longest single text, whi
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,16 +44,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _remembered(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def _remembered(df: DataFrame, path: str) -> DataFrame:
+    df._loomwright_path = path
+    return df
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing lazy still reads."""
+    for df in tables:
+        if df is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._loomwright_path)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now. It does so when their plans are collected as garbage,
+    which on a driver with little to do may be long after the last read."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """Like ``written``, in buckets by ``key``: later joins on the key don't move these rows again."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", new_path(spark, name)).saveAsTable(table)
-    return spark.table(table)
+    table, path = f"{name}_{uuid.uuid4().hex}", new_path(spark, name)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    return _remembered(spark.table(table), path)
 
 
 def drop_repeated_rows(df: DataFrame, id_col: str) -> DataFrame:

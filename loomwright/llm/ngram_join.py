@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import U64, Texts, bucketed, byte_values, columns_of, drop_repeated_rows, mix64, new_path, text_chunks, written
+from loomwright.llm.common import U64, Texts, bucketed, byte_values, columns_of, discard, drop_repeated_rows, mix64, new_path, release, text_chunks, written
 from loomwright.llm.components import components
 
 #: Ratio of the lower ends of neighbouring size windows.
@@ -215,10 +215,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fract
     groups = groups.groupBy("n", "who").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight"))  # the same documents again and again
     members = rows.join(groups.select("sig", "weight", F.col("n").alias("members")), "sig")
     members = written(members, "members")
+    release(spark)
     score = members.groupBy("id").agg(F.sum(F.col("weight") * F.least(F.col("members"), F.lit(1 << 20))).alias("score"))
     facts = signed.select("id", "size", "sketch", "longer").join(score, "id").dropDuplicates(["id"])
-    facts = written(facts, "candidates")
+    facts = facts_table = written(facts, "candidates")
     largest = members.agg(F.max("members").alias("m")).first()["m"]
+    release(spark)
     # A level for each document; sixteen times as many have the next lower one.
     level = F.lit(0)
     for k in range(1, 16):
@@ -229,12 +231,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fract
     facts = facts.withColumn("level", F.least(level, F.lit(top)))
     chosen = docs.join(facts.select(F.col("id").alias("__id")), docs[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
     parts = bucketed(segments(chosen, n, id_col, text_col), "segments", "id") if largest else None
+    release(spark)
 
     same = table.where("size > 0 and id is not null").join(sets, by_set).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     # Only nodes that have signatures need to be tied to their set's name.
     links_path = new_path(spark, "links")
     same.join(facts.select(F.col("id").alias("a")), "a", "left_semi").write.parquet(links_path)
-    labels = None
+    labels, placed = None, None
     if largest:
         known = members.select("id", "sig").join(facts, "id")
         for step in range(-1, top + 1):
@@ -253,7 +256,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fract
                 pairs = leaders.join(others, "sig").where((F.col("a_label") != F.col("b_label")) & _may_link(similarity))
             pairs = pairs.select("a", "b", "a_size", "b_size").distinct()
             _verified(pairs, parts, similarity).write.mode("append").parquet(links_path)
+            release(spark)
             labels = components(spark.read.schema("a long, b long").parquet(links_path), "a", "b")
+            if step >= 0:
+                discard(placed)
+            release(spark)
+        discard(parts, members, facts_table)
     done = named.join(sets, by_set, "left")
     if labels is not None:
         done = done.join(labels.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left")
