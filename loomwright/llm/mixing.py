@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.llm.common import written
+
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK = 16
@@ -82,6 +84,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("src", "source_size", F.coalesce(share, F.col("cap").cast("double")).alias("target"))
 
 
+def _key(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.when(source.isNull(), "none").otherwise(F.concat(F.lit("is "), source.cast("string")))
+
+
 def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: list[str]) -> DataFrame:
     """The columns ``carry`` of each row with __size, __source_size, __target, __taken, __start, __shard_size, __words."""
     small = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("src"), word_count(F.col(f"`{text_col}`")).alias("size"))
@@ -97,16 +104,16 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry:
     parts = by_shard.alias("a").join(by_source.select(F.col("src").alias("s_src"), "source_size", "target", F.col("quota").alias("seats")), F.col("src").eqNullSafe(F.col("s_src"))).drop("s_src")
     parts = parts.withColumn("most", F.ceil(MAX_REPEATS * F.col("shard_size") / BLOCK))
     quotas = _apportioned(parts, ["src"], [F.col("shard")], "shard_size", "seats", "most").select(
-        F.col("src").alias("q_src"), F.col("shard").alias("q_shard"), "source_size", "target", "shard_size",
-        F.least(F.col("quota") * BLOCK, MAX_REPEATS * F.col("shard_size")).alias("words"),
-    )
+        _key(F.col("src")).alias("key"), "shard", "source_size", "target", "shard_size", F.least(F.col("quota") * BLOCK, MAX_REPEATS * F.col("shard_size")).alias("words")
+    )
+    quotas = written(quotas, "quotas")
     rows = docs.select(
         *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)], F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("src"), word_count(F.col(f"`{text_col}`")).alias("size")
-    ).withColumn("shard", shard(F.col("id")))
+    ).select("*", shard(F.col("id")).alias("shard"), _key(F.col("src")).alias("key"))
     seeded = F.md5(F.concat(F.lit(f"{SEED}/order/"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    line = Window.partitionBy("src", "shard").orderBy(seeded, "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("key", "shard").orderBy(seeded, "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("start", F.sum("size").over(line) - F.col("size"))
-    rows = rows.join(quotas, F.col("src").eqNullSafe(F.col("q_src")) & (F.col("shard") == F.col("q_shard")))
+    rows = rows.join(quotas, ["key", "shard"])  # dealt like the window, so that texts move once
     rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0)
     rows = rows.withColumn("rounds", rounds).withColumn("rest", F.col("words") - F.col("rounds") * F.col("shard_size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))
