@@ -211,10 +211,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fract
 
     signed = table.where("id is not null and signatures is not null")
     rows = signed.select("id", F.explode("signatures").alias("sig"))
-    groups = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("n > 1")
+    often = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
+    shared = written(rows.join(often, "sig"), "shared")
+    release(spark)
+    who = F.bit_xor(F.xxhash64("id"))
+    groups = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), who.alias("who"))
     groups = groups.groupBy("n", "who").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight"))  # the same documents again and again
-    members = rows.join(groups.select("sig", "weight", F.col("n").alias("members")), "sig")
-    members = written(members, "members")
+    members = written(shared.join(groups.select("sig", "weight", F.col("n").alias("members")), "sig"), "members")
+    discard(shared)
     release(spark)
     score = members.groupBy("id").agg(F.sum(F.col("weight") * F.least(F.col("members"), F.lit(1 << 20))).alias("score"))
     facts = signed.select("id", "size", "sketch", "longer").join(score, "id").dropDuplicates(["id"])
