@@ -6,6 +6,7 @@ object. Its memory is bounded by ``CHUNK_BYTES`` or the longest single text, whi
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -158,6 +159,15 @@ def text_chunks(array: pa.Array) -> Iterator[Texts]:
         stop = max(k + 1, int(np.searchsorted(offsets, offsets[k] + CHUNK_BYTES, "right")) - 1)
         yield Texts(k, data[offsets[k] : offsets[stop]], offsets[k : stop + 1] - offsets[k])
         k = stop
+    return_memory()
+
+
+def return_memory() -> None:
+    """Give freed pages back to the system, as a worker lives on between tasks beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def columns_of(df: DataFrame, *names: str) -> DataFrame:

@@ -35,7 +35,7 @@ PER_LANGUAGE = 1500
 #: Occurrences of an n-gram among a million of its language from which the language is said to contain it.
 PER_MILLION = 30.0
 UNKNOWN = "und"
-SLICE_ROWS = 256
+SLICE_ROWS = 128
 
 
 def held_out(id_col: Column) -> Column:
