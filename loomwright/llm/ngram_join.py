@@ -54,7 +54,7 @@ def most_different(total: int, similarity: Fraction) -> int:
 
 
 class Windows:
-    """Windows of set sizes: first size, last size, D, number of fragments."""
+    """Windows of set sizes: first size, last size, D, number of fragments. Sizes up to ``largest_size`` have all their windows."""
 
     def __init__(self, similarity: Fraction, largest: int):
         lows = [1]
@@ -62,6 +62,7 @@ class Windows:
             lows.append(max(lows[-1] + 1, ceil(lows[-1] * STEP)))
         self.low = np.array(lows[:-1], np.int64)
         top = [x - 1 for x in lows[1:]]
+        self.largest_size = top[-1]
         self.high = np.array([floor(x / similarity) for x in top], np.int64)
         self.differ = np.array([most_different(x + floor(x / similarity), similarity) for x in top], np.int64)
         self.fragments = np.array([self._fragments(int(lo), int(d)) for lo, d in zip(self.low, self.differ, strict=True)], np.int64)
@@ -132,7 +133,7 @@ def described(docs: DataFrame, n: int, similarity: Fraction, id_col: str, text_c
             for texts in text_chunks(batch.column(1)):
                 shingles, starts = shingle_sets(texts, n)
                 size = np.diff(starts)
-                if len(size) and size.max() > windows.high[-1]:
+                if len(size) and size.max() > windows.largest_size:
                     windows = Windows(similarity, int(size.max()) * 2)
                 # Windows of smaller sizes are the same however large the largest.
                 sums = [np.concatenate((np.zeros(1, U64), np.cumsum(mix64(shingles + U64(k))))) for k in (1, 2)]

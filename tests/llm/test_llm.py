@@ -231,6 +231,14 @@ def test_windows_cover_every_pair():
                 assert any(d >= ngram_join.most_different(a + b, t) and f > d for d, f in inside)
 
 
+@pytest.mark.parametrize(("n", "num", "den", "small", "large"), [(3, 9, 10, 1200, 1300), (5, 4, 5, 1200, 1400)])
+def test_sets_meet_across_the_last_window_of_a_task(spark, n, num, den, small, large):
+    words = [f"w{k}" for k in range(large + n - 1)]
+    one, other = (spark.createDataFrame([(i, " ".join(words[: size + n - 1]))], "doc_id long, text string") for i, size in ((1, small), (2, large)))
+    got = {tuple(r) for r in ngram_join.jaccard_components(one.union(other), n, Fraction(num, den)).collect()}
+    assert got == {(1, small, 1), (2, large, 1)}
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(2000, 2100)]
