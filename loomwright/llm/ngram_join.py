@@ -123,7 +123,7 @@ def parity_sketch(own: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
 
 
 def described(docs: DataFrame, n: int, similarity: Fraction, id_col: str, text_col: str) -> DataFrame:
-    """Per document: id, size, key of the set (k1, k2), sketch, signatures (once per set and task)."""
+    """Per document: id, size, key of the set (k1, k2), sketch, signatures (once per set and task, at a row with an id)."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -138,11 +138,13 @@ def described(docs: DataFrame, n: int, similarity: Fraction, id_col: str, text_c
                 # Windows of smaller sizes are the same however large the largest.
                 sums = [np.concatenate((np.zeros(1, U64), np.cumsum(mix64(shingles + U64(k))))) for k in (1, 2)]
                 k1, k2 = ((s[starts[1:]] - s[starts[:-1]]).view(np.int64) for s in sums)
+                ids = batch.column(0).slice(texts.first, texts.n)
+                named = np.asarray(ids.is_valid())
                 sketches, longer, signatures = [], [], []
                 for k in range(texts.n):
                     own = shingles[starts[k] : starts[k + 1]]
                     key = (int(k1[k]), int(k2[k]), len(own))
-                    if key in seen or not len(own):
+                    if key in seen or not len(own) or not named[k]:
                         sketches.append(None)
                         longer.append(None)
                         signatures.append(None)
@@ -153,7 +155,6 @@ def described(docs: DataFrame, n: int, similarity: Fraction, id_col: str, text_c
                     inside = np.flatnonzero((windows.low <= len(own)) & (len(own) <= windows.high) & (windows.differ > 0))
                     found = [segment_signatures(own, int(w), int(windows.fragments[w]), int(windows.differ[w])) for w in inside]
                     signatures.append(np.concatenate(found).view(np.int64) if found else None)
-                ids = batch.column(0).slice(texts.first, texts.n)
                 arrays = [ids, pa.array(size), pa.array(k1), pa.array(k2), *[pa.array(x, pa.list_(pa.int64())) for x in (sketches, longer, signatures)]]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "size", "k1", "k2", "sketch", "longer", "signatures"])
 

@@ -239,6 +239,13 @@ def test_sets_meet_across_the_last_window_of_a_task(spark, n, num, den, small, l
     assert got == {(1, small, 1), (2, large, 1)}
 
 
+def test_a_row_without_an_id_does_not_take_its_sets_signatures(spark):
+    text = prose(100, random.Random(3))
+    rows = [(None, text), (1, text), (2, text + " one two")]
+    got = Counter(tuple(r) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    assert got == Counter([(None, 96, 1), (1, 96, 1), (2, 98, 1)])
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(2000, 2100)]
