@@ -202,6 +202,17 @@ def _verified(pairs: DataFrame, parts: DataFrame, similarity: Fraction) -> DataF
     return both.where(den * F.col("n") >= num * (F.col("a_size") + F.col("b_size") - F.col("n"))).select("a", "b")
 
 
+def signature_groups(shared: DataFrame) -> DataFrame:
+    """One ``sig`` of those with the same documents, with their number n and ``weight``, the number of such signatures.
+
+    The documents are told apart by sums of their ids' hashes, in halves that can't overflow; ids of repeated rows don't cancel.
+    """
+    h = F.xxhash64("id")
+    high, low = F.sum(F.shiftright(h, 32)).alias("high"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low")
+    groups = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), high, low)
+    return groups.groupBy("n", "high", "low").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -216,9 +227,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fract
     often = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
     shared = written(rows.join(often, "sig"), "shared")
     release(spark)
-    who = F.bit_xor(F.xxhash64("id"))
-    groups = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), who.alias("who"))
-    groups = groups.groupBy("n", "who").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight"))  # the same documents again and again
+    groups = signature_groups(shared)  # the same documents again and again
     members = written(shared.join(groups.select("sig", "weight", F.col("n").alias("members")), "sig"), "members")
     discard(shared)
     release(spark)

@@ -246,6 +246,12 @@ def test_a_row_without_an_id_does_not_take_its_sets_signatures(spark):
     assert got == Counter([(None, 96, 1), (1, 96, 1), (2, 98, 1)])
 
 
+def test_repeated_rows_do_not_make_signature_groups_equal(spark):
+    rows = [(1, 10), (1, 10), (1, 30), (2, 20), (2, 20), (2, 30), (3, 10), (3, 10), (3, 30), (4, 10), (4, 30)]
+    got = ngram_join.signature_groups(spark.createDataFrame(rows, "sig long, id long")).collect()
+    assert {(r["sig"], r["n"], r["weight"]) for r in got} == {(1, 3, 2), (2, 3, 1), (4, 2, 1)}
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(2000, 2100)]
