@@ -476,6 +476,21 @@ def test_substring_spans(spark, docs):
     assert {r["doc_id"] for r in substring_dedup.repeated_documents(docs).collect()} >= {7, 8, 11, 12}
 
 
+def test_no_passage_of_51_short_words_is_lost(spark):
+    rng = random.Random(51)
+    short = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(n))
+    passages = [short(51) for _ in range(300)]
+    rows = [(k, f"{short(rng.randint(0, 60))} {passages[k % 300]} {short(rng.randint(0, 60))}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = substring_dedup.repeated_spans(df).collect()
+    assert {r["doc_id"] for r in spans} == set(range(600))
+    texts = {k: t.encode() for k, t in rows}
+    for r in spans:
+        part = texts[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert part in f" {passages[r['doc_id'] % 300]} ".encode() and r["first_doc_id"] == r["doc_id"] % 300
+        assert r["removed_bytes"] == (r["length"] if r["doc_id"] >= 300 else 0)
+
+
 def test_chunks_rebuild_texts_and_resist_insertions():
     import pyarrow as pa
 
