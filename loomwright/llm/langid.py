@@ -184,7 +184,9 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents in some language: those that are ``und`` go. A pure filter, with no shuffle."""
+    """The documents in some language: null texts and those without letters go. A pure filter, with no shuffle."""
     model = fit(docs, text_col, lang_col, id_col)
+    if not model.names:  # nothing to tell languages by, so ``und`` says nothing about a text
+        return docs.where(F.col(f"`{text_col}`").rlike(r"\p{L}"))
     kept = predict(docs.withColumnsRenamed({c: f"d{k}" for k, c in enumerate(docs.columns)}), model, f"d{docs.columns.index(text_col)}")
     return kept.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"d{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -131,6 +131,13 @@ def test_language_held_out_accuracy(spark, docs):
     assert kept.columns == docs.columns and not kept.where("trim(text) = ''").count() and kept.count() == docs.count() - 3
 
 
+def test_texts_stay_where_no_language_could_be_learnt(docs):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    want = Counter(r["text"] for r in langid.keep_identified(docs).collect())
+    kept = langid.keep_identified(unlabelled)
+    assert kept.columns == docs.columns and want and Counter(r["text"] for r in kept.collect()) == want
+
+
 def test_mask_filter_returns_all_languages():
     f = langid.MaskFilter([f"l{i}" for i in range(70)])
     f.insert(np.array([5, 6], np.uint64), 0)
