@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,9 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that the scanner holds at once.
 CHUNK_BYTES = 1 << 20
+#: A key with more than one row in so many is hot, and is dealt over so many tasks.
+HOT_SHARE, SALTS = 1000, 64
 #: The white space of the word definitions: space and tab to carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -29,9 +33,11 @@ U64 = np.uint64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, or a temporary one where unset."""
+    """The folder that all executors see: ``spark.checkpoint.dir``, or a temporary one in local mode where unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loomwright-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -45,7 +51,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return _remembered(df.sparkSession.read.schema(df.schema).parquet(path), path)
+    return reread(df.sparkSession, df.schema, path)
+
+
+def reread(spark: SparkSession, schema: str | StructType, path: str) -> DataFrame:
+    return _remembered(spark.read.schema(schema).parquet(path), path)
 
 
 def _remembered(df: DataFrame, path: str) -> DataFrame:
@@ -54,9 +64,11 @@ def _remembered(df: DataFrame, path: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame | None) -> None:
-    """Delete written tables that nothing lazy still reads."""
+    """Delete written tables that nothing lazy still reads, and drop their names."""
     for df in tables:
         if df is not None:
+            if getattr(df, "_loomwright_table", None):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._loomwright_table}")
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._loomwright_path)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -68,13 +80,31 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Like ``written``, in buckets by ``key``: later joins on the key don't move these rows again."""
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Like ``written``, in buckets by ``keys``: later joins on the keys don't move these rows again."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table, path = f"{name}_{uuid.uuid4().hex}", new_path(spark, name)
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
-    return _remembered(spark.table(table), path)
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    found = _remembered(spark.table(table), path)
+    found._loomwright_table = table
+    return found
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], n_col: str, total: int, how: str = "inner") -> DataFrame:
+    """Join rows to ``right`` (one row per key, with ``n_col``, the number of left rows of the key).
+
+    Keys with more than a ``1 / HOT_SHARE`` of all ``total`` left rows are dealt over ``SALTS`` tasks. There are at most
+    ``HOT_SHARE`` such keys, whatever the input, so their list can be broadcast.
+    """
+    hot = right.where(F.col(n_col) * HOT_SHARE > F.lit(total)).select(*[F.col(k).alias(f"__{k}") for k in keys])
+    hot = F.broadcast(hot.limit(HOT_SHARE).withColumn("__hot", F.lit(True)))  # no more exist
+    marked = lambda df: df.join(hot, [df[k] == hot[f"__{k}"] for k in keys], "left").drop(*[f"__{k}" for k in keys])
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = marked(left).withColumn("__salt", salt).drop("__hot")
+    right = marked(right).withColumn("__salt", F.explode(salts)).drop("__hot")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def drop_repeated_rows(df: DataFrame, id_col: str) -> DataFrame:
@@ -92,27 +122,17 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def byte_values(seed: int, lower: bool = False) -> np.ndarray:
-    """256 seeded 64-bit values; with ``lower``, A-Z count as a-z."""
-    table = mix64(np.arange(256, dtype=U64) + U64((seed * 1000 + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-    if lower:
-        table[65:91] = table[97:123]
-    return table
-
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+def byte_values(seed: int) -> np.ndarray:
+    """256 seeded 64-bit values."""
+    return mix64(np.arange(256, dtype=U64) + U64((seed * 1000 + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers 0..n of an odd base, and of its inverse modulo 2^64."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+#: Spans longer than this are hashed by BLAKE2 one by one, shorter ones together, eight bytes at a time.
+LONG_SPAN = 256
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: The first 0 to 8 bytes of an eight-byte lane.
+FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
 
 class Texts:
@@ -136,12 +156,60 @@ class Texts:
         s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
         return s, e, np.searchsorted(self.offsets, s, "right") - 1
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the bytes in each span: polynomials from prefix sums, then mixed."""
-        up, down = powers(len(self.data))
-        sums = np.zeros(len(self.data) + 1, U64)
-        np.cumsum(table[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    def lanes(self, lower: bool = False) -> np.ndarray:
+        """The eight bytes from each place on, as integers; zeros follow the last byte. With ``lower``, A-Z count as a-z."""
+        padded = np.zeros(len(self.data) + 16, np.uint8)
+        padded[: len(self.data)] = LOWER[self.data] if lower else self.data
+        return np.ndarray(len(self.data) + 8, "<u8", padded, strides=(1,))
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int, lower: bool = False) -> np.ndarray:
+        """A seeded 64-bit hash of the bytes in each span.
+
+        Lanes of eight bytes are mixed in one after another, so spans of eight bytes or less get hashes of their own
+        among spans of their length, and no two texts are equal for every seed.
+        """
+        length = ends - starts
+        lanes = self.lanes(lower)
+        salt = U64((seed * 0xD6E8FEB86659FD93 + 0x9E3779B97F4A7C15) % (1 << 64))
+        h = mix64(length.astype(U64) + salt)
+        rows = np.flatnonzero((length > 0) & (length <= LONG_SPAN))
+        k = 0
+        while len(rows):
+            left = length[rows] - k
+            lane = lanes[starts[rows] + k] & FIRST_BYTES[np.minimum(left, 8)]
+            h[rows] = mix64((h[rows] ^ lane) * U64(0x9FB21C651E98DF25) + salt)
+            k += 8
+            rows = rows[left > 8]
+        for i in np.flatnonzero(length > LONG_SPAN).tolist():
+            own = self.data[starts[i] : ends[i]]
+            found = hashlib.blake2b((LOWER[own] if lower else own).tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+            h[i] = U64(int.from_bytes(found.digest(), "little"))
+        return h
+
+    def same(self, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, lower: bool = False) -> np.ndarray:
+        """Which spans have the bytes of the spans of their length that start at ``others``."""
+        length = ends - starts
+        lanes = self.lanes(lower)
+        equal = np.ones(len(starts), bool)
+        rows = np.flatnonzero((length > 0) & (starts != others))
+        k = 0
+        while len(rows):
+            left = length[rows] - k
+            differ = (lanes[starts[rows] + k] ^ lanes[others[rows] + k]) & FIRST_BYTES[np.minimum(left, 8)]
+            equal[rows[differ != 0]] = False
+            k += 8
+            rows = rows[(left > 8) & (differ == 0)]
+        return equal
+
+    def distinct(self, starts: np.ndarray, ends: np.ndarray, seed: int, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct spans: their hashes, one place of each, and for every span which it is. Bytes are compared, so
+        that equal hashes don't make different spans one; should that happen, another seed tells them apart."""
+        while True:
+            found, first, which = np.unique(self.hashes(starts, ends, seed, lower), return_index=True, return_inverse=True)
+            other = first[which]
+            if ((ends - starts) == (ends - starts)[other]).all() and self.same(starts, ends, starts[other], lower).all():
+                return found, first, which
+            seed += 1000
 
 
 def text_chunks(array: pa.Array) -> Iterator[Texts]:

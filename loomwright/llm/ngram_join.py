@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import U64, Texts, bucketed, byte_values, columns_of, discard, drop_repeated_rows, mix64, new_path, release, text_chunks, written
+from loomwright.llm.common import U64, Texts, bucketed, columns_of, discard, drop_repeated_rows, mix64, new_path, release, text_chunks, written
 from loomwright.llm.components import components
 
 #: Ratio of the lower ends of neighbouring size windows.
@@ -79,7 +79,7 @@ class Windows:
 def shingle_sets(texts: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one after another, and where each text's start."""
     start, end, of = texts.words()
-    h = texts.hashes(start, end, byte_values(5, lower=True))
+    h = texts.hashes(start, end, 5, lower=True)
     per_text = np.bincount(of, minlength=texts.n)
     before = np.cumsum(per_text) - per_text
     place = np.arange(len(h)) - before[of]

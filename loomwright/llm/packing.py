@@ -13,7 +13,8 @@ sorted in one task.
 Defined results: a null or empty text is one piece that holds the end token alone; equal lengths are
 taken in the order of partition, id and piece; repeated rows are packed as often as they come; an empty
 table gives no rows; further columns don't matter. Texts are tokenised word by word (white space
-``[\\x20\\x09-\\x0D]`` always ends a token), and each distinct word once per cache.
+``[\\x20\\x09-\\x0D]`` always ends a token), and each distinct word once per cache, in which words are found by a
+hash and compared byte by byte.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import U64, Texts, byte_values, text_chunks, written
+from loomwright.llm.common import FIRST_BYTES, LOWER, U64, Texts, text_chunks, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -72,7 +73,6 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.table = byte_values(7, lower=True)  # the tokenizer lowers letters itself
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -82,6 +82,33 @@ class WordTokens:
         self.known, self.at = np.zeros(0, U64), np.zeros(0, np.int32)  # sorted hashes, and where their words stand
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.counts, self.words = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+        self.bytes, self.bytes_used = np.zeros(1 << 18, np.uint8), 0  # the words' own bytes, which a hit is compared with
+        self.begins, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _keep_bytes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, places: np.ndarray) -> None:
+        size = end - start
+        before = np.cumsum(size) - size
+        own = LOWER[data[np.repeat(start - before, size) + np.arange(int(size.sum()))]]
+        while self.bytes_used + len(own) + 16 > len(self.bytes):
+            self.bytes = np.concatenate((self.bytes, np.zeros_like(self.bytes)))
+        while self.words > len(self.begins):
+            self.begins, self.lengths = np.concatenate((self.begins, np.zeros_like(self.begins))), np.concatenate((self.lengths, np.zeros_like(self.lengths)))
+        self.bytes[self.bytes_used : self.bytes_used + len(own)] = own
+        self.begins[places], self.lengths[places] = self.bytes_used + before, size
+        self.bytes_used += len(own)
+
+    def _are(self, texts: Texts, start: np.ndarray, end: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Which words have the bytes of the kept words at these places."""
+        here, kept = texts.lanes(lower=True), np.ndarray(len(self.bytes) - 8, "<u8", self.bytes, strides=(1,))
+        equal = self.lengths[places] == end - start
+        rows, k = np.flatnonzero(equal), 0
+        while len(rows):
+            left = end[rows] - start[rows] - k
+            differ = (here[start[rows] + k] ^ kept[self.begins[places[rows]] + k]) & FIRST_BYTES[np.minimum(left, 8)]
+            equal[rows[differ != 0]] = False
+            k += 8
+            rows = rows[(left > 8) & (differ == 0)]
+        return equal
 
     def _store(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Keep the ids of some words, one after another; where these words stand."""
@@ -121,19 +148,27 @@ class WordTokens:
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All token ids of the texts, one after another, and where each text's ids start."""
         start, end, of = split_tails(texts.data, *texts.words())
-        distinct, first, which = np.unique(texts.hashes(start, end, self.table), return_index=True, return_inverse=True)
+        distinct, first, which = texts.distinct(start, end, 7, lower=True)  # the tokenizer lowers letters itself
         if len(self.known) + len(distinct) > CACHED_WORDS:
             self.clear()
         slot = np.searchsorted(self.known, distinct)
-        there = slot < len(self.known)
-        there[there] = self.known[slot[there]] == distinct[there]
-        new = np.flatnonzero(~there)
+        hit = slot < len(self.known)
+        hit[hit] = self.known[slot[hit]] == distinct[hit]
+        place = np.zeros(len(distinct), np.int64)
+        place[hit] = self.at[slot[hit]]
+        fine = hit.copy()
+        fine[hit] = self._are(texts, start[first[hit]], end[first[hit]], place[hit])
+        new = np.flatnonzero(~fine)
         raw = texts.data.tobytes()
-        places = [self._add([raw[start[i] : end[i]].decode("utf-8", "replace") for i in first[new[k : k + 4096]]]) for k in range(0, len(new), 4096)]
-        if places:
-            self.at = np.insert(self.at, slot[new], np.concatenate(places))
-            self.known = np.insert(self.known, slot[new], distinct[new])
-        index = self.at[np.searchsorted(self.known, distinct)][which]
+        for k in range(0, len(new), 4096):
+            own = first[new[k : k + 4096]]
+            place[new[k : k + 4096]] = self._add([raw[start[i] : end[i]].decode("utf-8", "replace") for i in own])
+            self._keep_bytes(texts.data, start[own], end[own], place[new[k : k + 4096]])
+        unknown = np.flatnonzero(~hit)  # a word with another's hash isn't remembered
+        if len(unknown):
+            self.at = np.insert(self.at, slot[unknown], place[unknown])
+            self.known = np.insert(self.known, slot[unknown], distinct[unknown])
+        index = place[which]
         sizes = self.counts[index].astype(np.int64)
         before = np.cumsum(sizes) - sizes
         ids = self.ids[np.repeat(self.starts[index] - before, sizes) + np.arange(int(sizes.sum()))]

@@ -5,8 +5,9 @@ from a second root. Every node knows where to go on when no edge fits (its failu
 pieces are then complete (its pops). A word is read once, byte by byte, and the pops on the way add up to
 the number of pieces of greedy longest-match-first splitting; the pieces are never built.
 
-A word is ``[^\\x20\\x09-\\x0D]+`` with one space before it. As all single bytes are pieces, every word
-can be split. The automaton's size is that of the vocabulary. Distinct words are counted once per cache.
+A word is ``[^\\x20\\x09-\\x0D]+`` with one space before it. Where all single bytes are pieces, every word
+can be split; a text with a word that the vocabulary can't split has no count (null). The automaton's size is
+that of the vocabulary. Distinct words are counted once per cache, which knows them by their bytes.
 
 Defined results: a null or empty text has no words and no tokens; repeated rows get equal counts; an
 empty table gives no rows; further columns don't matter; a very long word is still read once.
@@ -23,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import byte_values, text_chunks
+from loomwright.llm.common import text_chunks
 
-CACHED_WORDS = 500_000
+#: Distinct words that a task keeps, and the longest one it keeps.
+CACHED_WORDS, CACHED_BYTES = 500_000, 200
 
 
 def read_vocabulary(path: str) -> list[bytes]:
@@ -94,23 +96,29 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id
     shared = docs.sparkSession.sparkContext.broadcast(LongestMatch(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, table, known = shared.value, byte_values(8), {}
+        automaton, known = shared.value, {}
         for batch in batches:
-            words, tokens = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            words, tokens, split = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, bool)
             for texts in text_chunks(batch.column(1)):
                 start, end, of = texts.words()
-                distinct, first, which = np.unique(texts.hashes(start, end, table), return_index=True, return_inverse=True)
-                if len(known) + len(distinct) > CACHED_WORDS:
+                _, first, which = texts.distinct(start, end, 8)
+                if len(known) + len(first) > CACHED_WORDS:
                     known.clear()
-                raw, keys = texts.data.tobytes(), distinct.tolist()
-                for k, h in enumerate(keys):
-                    if h not in known:
-                        known[h] = max(0, automaton.count(b" " + raw[start[first[k]] : end[first[k]]]))
-                count = np.fromiter((known[h] for h in keys), np.int64, len(keys))[which]
+                raw, counts = texts.data.tobytes(), np.zeros(len(first), np.int64)
+                for k, (a, b) in enumerate(zip(start[first].tolist(), end[first].tolist(), strict=True)):
+                    word = raw[a:b]
+                    n = known.get(word)
+                    if n is None:
+                        n = automaton.count(b" " + word)
+                        if b - a <= CACHED_BYTES:
+                            known[word] = n
+                    counts[k] = n
+                count = counts[which]
                 own = slice(texts.first, texts.first + texts.n)
                 words[own] = np.bincount(of, minlength=texts.n)
-                tokens[own] = np.bincount(of, weights=count, minlength=texts.n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(tokens)], ["id", "n_words", "n_tokens"])
+                tokens[own] = np.bincount(of, weights=np.maximum(count, 0), minlength=texts.n)
+                split[own] &= np.bincount(of, weights=count < 0, minlength=texts.n) == 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(tokens, mask=~split)], ["id", "n_words", "n_tokens"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, n_words long, n_tokens long").withColumnRenamed("id", id_col)

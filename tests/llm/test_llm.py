@@ -259,6 +259,43 @@ def test_repeated_rows_do_not_make_signature_groups_equal(spark):
     assert {(r["sig"], r["n"], r["weight"]) for r in got} == {(1, 3, 2), (2, 3, 1), (4, 2, 1)}
 
 
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2^64; counts and tokens must tell them apart."""
+    words = []
+    for n in (64, 1024, 2048):
+        word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        words += [word, word.translate(str.maketrans("ab", "ba"))]
+    texts = [*words, " ".join(words), words[1].upper() + " " + words[0], "x " + words[3] + "\n" + words[2] + "c"]
+    path = queries.tokenizer_file(queries.TOKENIZER)
+    plain = packing.WordTokens(path).tokenizer
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {}
+    for r in packing.pieces(df, path, with_ids=True).orderBy("id", "piece").collect():
+        got.setdefault(r["id"], []).extend(r["ids"])
+    assert got == {k: [*plain.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+    vocabulary = token_counts.read_vocabulary(queries.tokenizer_file(queries.VOCABULARY))
+    automaton = token_counts.LongestMatch(vocabulary)
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df, vocabulary).collect()}
+    assert counts == {k: sum(automaton.count(b" " + w.encode()) for w in WORD.findall(t)) for k, t in enumerate(texts)}
+    unsplit = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in token_counts.token_counts(df.limit(1).union(spark.createDataFrame([(77, "b  b"), (78, "")], df.schema)), [b" ", b"b", b" b"]).collect()}
+    assert unsplit == {0: (1, None), 77: (2, 2), 78: (0, 0)}
+
+
+def test_equal_hashes_do_not_make_words_equal():
+    import pyarrow as pa
+
+    class Weak(packing.Texts):
+        def hashes(self, starts, ends, seed, lower=False):
+            return ((ends - starts) % 3 + (seed > 2000) * super().hashes(starts, ends, seed, lower)).astype(np.uint64)
+
+    coder = packing.WordTokens(queries.tokenizer_file(queries.TOKENIZER))
+    for line in ("ab cd efg hij ab cdef", "cd ab hij efg klmn klmn zz", "zz ab cd"):
+        for texts in packing.text_chunks(pa.array([line])):
+            weak = Weak(texts.first, texts.data, texts.offsets)
+            ids, _ = coder.encode(weak)
+            assert ids.tolist() == coder.tokenizer.encode(line, add_special_tokens=False).ids
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(2000, 2100)]
