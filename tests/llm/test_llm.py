@@ -255,10 +255,97 @@ def test_a_row_without_an_id_does_not_take_its_sets_signatures(spark):
 
 def test_repeated_rows_do_not_make_signature_groups_equal(spark):
     rows = [(1, 10), (1, 10), (1, 30), (2, 20), (2, 20), (2, 30), (3, 10), (3, 10), (3, 30), (4, 10), (4, 30)]
-    got = ngram_join.signature_groups(spark.createDataFrame(rows, "sig long, id long")).collect()
+    got = ngram_join.signature_groups(spark.createDataFrame(rows, "sig long, row long")).collect()
     assert {(r["sig"], r["n"], r["weight"]) for r in got} == {(1, 3, 2), (2, 3, 1), (4, 2, 1)}
 
 
+@pytest.mark.parametrize("t", [Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)])
+def test_linked_sets_share_as_many_signatures_as_needed(t):
+    """Of random pairs at or just above the similarity, all share that many in the window of the smaller one."""
+    rng = np.random.default_rng(3)
+    windows = ngram_join.Windows(t, 3000)
+    for trial in range(600):
+        base = rng.integers(0, 1 << 63, int(rng.integers(1, 40 if trial % 2 else 900)), np.int64).astype(np.uint64) * np.uint64(2)
+        if trial % 5 == 0:
+            base >>= np.uint64(40)  # few fragments are occupied
+        most = ngram_join.most_different(2 * len(base), t)
+        drop = int(rng.integers(0, most + 1))
+        a = np.unique(base)
+        b = np.unique(np.concatenate((base[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, most - drop + 1)), np.int64).astype(np.uint64))))
+        same = len(np.intersect1d(a, b))
+        if not len(a) or not len(b) or same * t.denominator < t.numerator * (len(a) + len(b) - same) or same == len(a) == len(b):
+            continue
+        found = []
+        for own in (a, b):
+            found.append({w: set(ngram_join.segment_signatures(own, w, int(windows.fragments[w]), d + int(windows.needed[w])).tolist()) for w, d in windows.of(len(own))})
+        assert any(len(found[0][w] & found[1][w]) >= windows.needed[w] for w in found[0].keys() & found[1].keys())
+
+
+def near_triples(rng, groups):
+    """Triples of which the second and third differ from the first by a word each."""
+    for g in range(groups):
+        words = [f"w{g}x{k}" for k in range(rng.randint(66, 74))]
+        second, third = list(words), list(words)
+        second[rng.randrange(len(words))] = f"s{g}"
+        third[rng.randrange(len(words))] = f"t{g}"
+        yield [" ".join(x) for x in (words, second, third)]
+
+
+def test_rows_repeated_in_other_partitions_lose_no_link(spark):
+    rng = random.Random(12)
+    texts = [t for three in near_triples(rng, 400) for t in three]
+    rows = list(enumerate(texts))
+    first = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    again = spark.createDataFrame([r for r in rows if r[0] % 3], "doc_id long, text string").coalesce(1)
+    roots = linked_in_triples(texts)
+    want = {(i, roots[i]) for i in range(len(texts))}
+    for df in (first, first.union(again), again.union(first).union(again).repartition(5)):
+        assert {(r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(df, 3, Fraction(9, 10)).collect()} == want
+
+
+def linked_in_triples(texts):
+    out = []
+    for k in range(0, len(texts), 3):
+        roots = linked([shingles(t, 3) for t in texts[k : k + 3]], 9, 10)
+        least_of = {}
+        for i, root in enumerate(roots):
+            least_of.setdefault(root, k + i)
+        out += [least_of[r] for r in roots]
+    return out
+
+
+def test_many_near_misses_and_shared_passages(spark):
+    """A group whose sets are all a little below the similarity of each other, and sets that only share a passage."""
+    rng = random.Random(5)
+    words = prose(120, rng).split()
+    texts = []
+    for k in range(60):
+        own = list(words)
+        for _ in range(3):
+            own[rng.randrange(len(own))] = f"e{k}_{rng.random()}"
+        texts.append(" ".join(own))
+    texts += [" ".join(words[:30]) + " " + prose(90, rng) for _ in range(40)] + [t + " end" for t in texts[:5]]
+    roots = linked([shingles(t, 5) for t in texts], 4, 5)
+    first = {}
+    for i, root in enumerate(roots):
+        first.setdefault(root, i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df).collect()}
+    assert got == {i: first[root] for i, root in enumerate(roots)}
+
+
+def test_ids_of_any_kind_that_clash_or_lack(spark):
+    rng = random.Random(8)
+    (a, b, c), (d, e, f) = near_triples(rng, 2)
+    rows = [("x", a), ("x", d), ("y", b), ("z", e), (None, c), (None, "only this here is left"), (None, " "), (None, ""), ("q", ""), ("q", None), ("x", a), ("r", f), ("r", f.upper())]
+    df = spark.createDataFrame(rows, "key string, body string")
+    for parts in (1, 3, 7):
+        got = Counter(tuple(r) for r in ngram_join.jaccard_components(df.repartition(parts), 3, Fraction(4, 5), "key", "body").select("key", "component_id").collect())
+        assert got == Counter({("x", "x"): 2, ("x", "r"): 1, ("y", "x"): 1, ("z", "r"): 1, (None, "x"): 1, (None, None): 3, ("q", "q"): 2, ("r", "r"): 2})
+        kept = Counter(tuple(r) for r in ngram_join.keep_one_of_each(df.repartition(parts), 3, Fraction(4, 5), "key", "body").collect())
+        assert kept == Counter([("x", a), ("r", min(f, f.upper())), ("q", None), (None, "only this here is left"), (None, " "), (None, "")])
+
+
 def test_words_that_polynomial_hashes_confuse(spark):
     """Thue-Morse words and their complements have equal polynomial hashes modulo 2^64; counts and tokens must tell them apart."""
     words = []
