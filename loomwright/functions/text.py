@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache, reduce
+from re import _constants, _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,26 +49,74 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def _literals(parsed: _parser.SubPattern) -> frozenset[str]:
+    """Strings of which one at least is in every match; empty if nothing is known. ASCII only, in lower case."""
+    found, run = [], ""
+    for op, value in [*parsed, (None, None)]:
+        if op is _constants.LITERAL and value < 128:
+            run += chr(value).lower()
+            continue
+        if len(run) > 1:
+            found.append(frozenset([run]))
+        run = ""
+        if op is _constants.SUBPATTERN:
+            found.append(_literals(value[3]))
+        elif op is _constants.BRANCH:
+            parts = [_literals(x) for x in value[1]]
+            found.append(frozenset().union(*parts) if all(parts) else frozenset())
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[0] > 0:
+            found.append(_literals(value[2]))
+    return max(found, key=lambda x: (min(map(len, x), default=0), -len(x)), default=frozenset())
+
+
+@lru_cache(maxsize=None)
+def literals(pattern: str) -> frozenset[str]:
+    try:
+        return _literals(_parser.parse(pattern))
+    except Exception:  # a pattern of Java's own syntax says nothing here
+        return frozenset()
+
+
+def may_match(text: Column, pattern: str) -> Column | None:
+    """Whether a match is possible, by plain search for what every match contains; null stays null. Far cheaper than the pattern."""
+    known = [x for x in literals(pattern) if not any(y in x for y in literals(pattern) - {x})]
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in sorted(known)]) if known else None
+
+
 def hits(text: Column, patterns: list[str], flags: str = "(?U)") -> Column:
-    """Matches of all patterns together."""
+    """Matches of all patterns together, in lower-case text."""
     total = F.lit(0)
     for p in patterns:
-        total = total + F.regexp_count(text, F.lit(flags + p))
+        found, possible = F.regexp_count(text, F.lit(flags + p)), may_match(text, p)
+        total = total + (found if possible is None else F.when(~possible, 0).otherwise(found))
     return total
 
 
-def patterns_present(text: Column, patterns: list[str]) -> Column:
-    """Patterns that match at all, whatever the case."""
-    total = F.lit(0)
+def any_case(text: Column) -> Column:
+    """Lower case for plain searches: the letters that count as ASCII ones whatever the case are those."""
+    return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+def patterns_present(text: Column, patterns: list[str], lower: Column | None = None) -> Column:
+    """Patterns that match at all, whatever the case. ``lower`` is the text's ``any_case``, if that is at hand."""
+    total, lower = F.lit(0), any_case(text) if lower is None else lower
     for p in patterns:
-        total = total + text.rlike("(?iu)" + p).cast("int")
+        found, possible = text.rlike("(?iu)" + p).cast("int"), may_match(lower, p)
+        total = total + (found if possible is None else F.when(~possible, 0).otherwise(found))
     return total
 
 
-def speech_acts(text: Column, normal: Column | None = None) -> dict[str, Column]:
-    """act_* columns. A question mark counts as a request when nothing else is there; an assertion is what is left."""
+def speech_act_hits(normal: Column) -> dict[str, Column]:
+    return {f"act_{k}": hits(normal, p) for k, p in L.SPEECH_ACTS.items()}
+
+
+def speech_acts(text: Column, normal: Column | None = None, raw: dict[str, Column] | None = None) -> dict[str, Column]:
+    """act_* columns. A question mark counts as a request when nothing else is there; an assertion is what is left.
+
+    ``raw`` are the ``speech_act_hits``, if they are columns already.
+    """
     t = normalize_text(text) if normal is None else normal
-    acts = {f"act_{k}": hits(t, p) for k, p in L.SPEECH_ACTS.items()}
+    acts = speech_act_hits(t) if raw is None else raw
     question = F.contains(text, F.lit("?")).cast("int")
     others = sum((acts[k] for k in acts if k != "act_request"), F.lit(0))
     asked = F.when((acts["act_request"] == 0) & (question == 1) & (others == 0), 1).otherwise(acts["act_request"])
@@ -87,10 +137,16 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
-def basic_features(text: Column) -> dict[str, Column]:
-    words = tokens(clean_text(text))
-    chars, alpha = F.char_length(text), F.regexp_count(text, F.lit(r"\p{L}"))
-    upper, digit = F.regexp_count(text, F.lit(r"(?U)\p{Lu}")), F.regexp_count(text, F.lit(r"\p{Nd}"))
+def count_of(text: Column, others: str) -> Column:
+    """Characters that aren't ``others``, a class; runs of others go at once."""
+    return F.char_length(F.regexp_replace(text, others + "+", ""))
+
+
+def basic_features(text: Column, words: Column | None = None) -> dict[str, Column]:
+    """``words`` are the tokens of the cleaned text, if they are at hand."""
+    words = tokens(clean_text(text)) if words is None else words
+    chars, alpha = F.char_length(text), count_of(text, r"\P{L}")
+    upper, digit = count_of(text, r"(?U)\P{Lu}"), count_of(text, r"\P{Nd}")
     real = lambda c: c.cast("double")
     return {
         "char_count": real(chars), "token_count": real(F.size(words)), "unique_token_ratio": _share(F.size(F.array_distinct(words)), F.size(words)),
@@ -119,12 +175,21 @@ def noise_score(text: Column) -> Column:
     return F.when(size > 0, score).otherwise(0.0)
 
 
-def interference(text: Column, clean: Column | None = None) -> dict[str, Column]:
-    """Hits of injection and disclaimer phrases in the cleaned text, formatting counts in the raw one, and scores."""
+def interference_hits(clean: Column, lower: Column | None = None) -> dict[str, Column]:
+    """``lower`` is ``any_case`` of the cleaned text."""
+    return {k: patterns_present(clean, p, lower) for k, p in {"injection": L.INJECTIONS, "disclaimer": L.DISCLAIMERS}.items()}
+
+
+def interference(text: Column, clean: Column | None = None, raw: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Hits of injection and disclaimer phrases in the cleaned text, formatting counts in the raw one, and scores.
+
+    ``raw`` are the ``interference_hits``, if they are columns already.
+    """
     t = clean_text(text) if clean is None else clean
     there = t != ""
     zero = lambda c: F.when(there, c).otherwise(F.lit(0))
-    injection, disclaimer = zero(patterns_present(t, L.INJECTIONS)), zero(patterns_present(t, L.DISCLAIMERS))
+    found = interference_hits(t) if raw is None else raw
+    injection, disclaimer = zero(found["injection"]), zero(found["disclaimer"])
     fences, urls, emojis = zero(F.regexp_count(text, F.lit("```"))), zero(F.regexp_count(text, F.lit("(?U)" + L.URL))), zero(F.regexp_count(text, F.lit(r"[\x{1F300}-\x{1FAFF}]")))
     semantic, form = injection * F.lit(2.0) + disclaimer * F.lit(1.5), fences * F.lit(0.5) + urls * F.lit(0.3) + F.lit(0.1) * emojis
     return {
@@ -133,10 +198,17 @@ def interference(text: Column, clean: Column | None = None) -> dict[str, Column]
     }
 
 
-def human_incidence(text: Column, normal: Column | None = None) -> dict[str, Column]:
-    """References to humans, prompts, tools and situations; weighted scores; a coarse evidence type."""
-    t = normalize_text(text) if normal is None else normal
-    human, prompt, tooling, narrative = (hits(t, p) for p in (L.HUMAN, L.PROMPTS, L.TOOLING, L.NARRATIVE))
+def incidence_hits(normal: Column) -> dict[str, Column]:
+    return {k: hits(normal, p) for k, p in {"human": L.HUMAN, "prompt": L.PROMPTS, "tooling": L.TOOLING, "narrative": L.NARRATIVE}.items()}
+
+
+def human_incidence(text: Column, normal: Column | None = None, raw: dict[str, Column] | None = None) -> dict[str, Column]:
+    """References to humans, prompts, tools and situations; weighted scores; a coarse evidence type.
+
+    ``raw`` are the ``incidence_hits``, if they are columns already.
+    """
+    found = incidence_hits(normalize_text(text) if normal is None else normal) if raw is None else raw
+    human, prompt, tooling, narrative = (found[k] for k in ("human", "prompt", "tooling", "narrative"))
     scores = {"score_human": human * F.lit(2.5), "score_prompt": prompt * F.lit(1.5), "score_narrative": narrative * F.lit(0.9), "score_tooling": tooling * F.lit(0.15)}
     kind = F.when(human >= 1, "humano_explicito").when((narrative >= 2) & (tooling <= 2) & (prompt == 0), "narrativa").when((prompt >= 2) & (tooling >= 2), "prompt_tooling")
     kind = kind.when(prompt >= 2, "prompt").when((tooling >= 6) & (narrative == 0), "tooling").otherwise("mixto")

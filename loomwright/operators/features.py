@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,13 @@ def with_features(docs: DataFrame, features: dict[str, Column]) -> DataFrame:
     return docs.select("*", *[c.alias(k) for k, c in features.items()])
 
 
+def staged(docs: DataFrame, keep: list[str], raw: dict[str, Column], derive: Callable[[dict[str, Column]], dict[str, Column]]) -> DataFrame:
+    """``keep`` and what ``derive`` makes of ``raw``, which is a projection of its own: the optimizer keeps costly columns
+    that are used several times apart, so each is computed once."""
+    held = docs.select("*", *[c.alias(f"raw_{k}") for k, c in raw.items()])
+    return held.select(*keep, *[c.alias(k) for k, c in derive({k: F.col(f"raw_{k}") for k in raw}).items()])
+
+
 def normalized(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``normal``, computed once for all lexicons."""
     return docs.withColumn("normal", T.normalize_text(F.col(text_col)))

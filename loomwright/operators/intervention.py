@@ -17,11 +17,15 @@ def clip(c: Column, lo: float, hi: float) -> Column:
 def scored(docs: DataFrame) -> DataFrame:
     """From (doc_id, author, community, created, text): all signals, doc_score, canonical text and fingerprint."""
     d = docs.where("text is not null and text <> ''").withColumn("normal", T.normalize_text(F.col("text"))).withColumn("clean", T.clean_text(F.col("text")))
-    inc, inter = T.human_incidence(F.col("text"), F.col("normal")), T.interference(F.col("text"), F.col("clean"))
+    d = d.withColumns({"lower": T.any_case(F.col("text")), "clean_lower": T.any_case(F.col("clean"))})
+    found = T.incidence_hits(F.col("normal")) | T.interference_hits(F.col("clean"), F.col("clean_lower"))
+    d = d.select("*", *[c.alias(f"raw_{k}") for k, c in found.items()])  # counted once, as the scores use them several times
+    raw = {k: F.col(f"raw_{k}") for k in found}
+    inc, inter = T.human_incidence(F.col("text"), F.col("normal"), raw), T.interference(F.col("text"), F.col("clean"), raw)
     canonical, fingerprint = T.canonical_signature(F.col("clean"))
     d = d.select(
         "doc_id", "author", "community", "created", *[c.alias(k) for k, c in inc.items()], inter["score_semantic"].alias("semantic"), inter["noise_score"].alias("noise"),
-        T.patterns_present(F.col("text"), L.PROMO).alias("promo_hits"), T.patterns_present(F.col("text"), L.CALL_TO_ACTION).alias("cta_hits"), T.patterns_present(F.col("text"), L.HUMAN_SIGNAL).alias("human_signal_hits"),
+        T.patterns_present(F.col("text"), L.PROMO, F.col("lower")).alias("promo_hits"), T.patterns_present(F.col("text"), L.CALL_TO_ACTION, F.col("lower")).alias("cta_hits"), T.patterns_present(F.col("text"), L.HUMAN_SIGNAL, F.col("lower")).alias("human_signal_hits"),
         F.lower("text").rlike("</?think>").alias("think"), F.contains("text", F.lit("```")).alias("code"), canonical.alias("canonical"), fingerprint.alias("fingerprint"),
     )
     score = F.col("human_incidence_score") * 0.70 + F.col("score_human") * 0.35 + F.col("score_prompt") * 0.35 + F.col("semantic") * 0.90 + F.col("promo_hits") * F.lit(1.25) + F.col("cta_hits") * F.lit(0.70) + F.col("human_signal_hits") * F.lit(0.80)

@@ -18,7 +18,9 @@ LAGS = 24
 def ngram_series(docs: DataFrame, text_col: str, time_col: str, n: int = 2, weight_col: str | None = None) -> DataFrame:
     """date, ngram, count (weighted): n-grams of the cleaned tokens per day."""
     weight = F.lit(1.0) if weight_col is None else F.when(F.coalesce(F.col(weight_col), F.lit(0)) == 0, 1.0).otherwise(F.col(weight_col).cast("double"))
-    rows = docs.where(F.col(time_col).isNotNull()).select(F.to_date(time_col).alias("date"), weight.alias("w"), F.explode(T.ngrams(T.tokens(T.clean_text(F.col(text_col))), n)).alias("ngram"))
+    # The tokens are a column of their own, so that they aren't made again for each n-gram.
+    rows = docs.where(F.col(time_col).isNotNull()).select(F.to_date(time_col).alias("date"), weight.alias("w"), T.tokens(T.clean_text(F.col(text_col))).alias("words"))
+    rows = rows.select("date", "w", F.explode(T.ngrams(F.col("words"), n)).alias("ngram"))
     return rows.groupBy("date", "ngram").agg(F.sum("w").alias("count"))
 
 

@@ -45,17 +45,21 @@ def sql_rates(names: list[str], source: str) -> str:
     return f"WITH {source}, w AS (SELECT CASE WHEN grouping(source) = 1 THEN 'all' ELSE coalesce(source, 'unknown') END AS scope, count(*) AS docs, {sums} FROM f GROUP BY GROUPING SETS ((), (source))) " + " UNION ALL ".join(parts)
 
 
+def acts_of(docs: DataFrame, key: str) -> DataFrame:
+    return O.staged(docs, [key], T.speech_act_hits(F.col("normal")), lambda raw: T.speech_acts(F.col("text"), F.col("normal"), raw))
+
+
 @query(sql_rates(ACTS, sql_acts()))
 def speech_act_rates_by_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-09, AGG-03: totals and rates of speech acts for all documents and per community."""
     docs = O.normalized(table(spark, sf_dir, "documents").select("source", "text"))
-    return O.rates_by_scope(docs.select("source", *[c.alias(k) for k, c in T.speech_acts(F.col("text"), F.col("normal")).items()]), ACTS, "source")
+    return O.rates_by_scope(acts_of(docs, "source"), ACTS, "source")
 
 
 @query(f"WITH {sql_acts()} SELECT doc_id, {', '.join(ACTS)} FROM f")
 def speech_acts_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = O.normalized(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", *[c.alias(k) for k, c in T.speech_acts(F.col("text"), F.col("normal")).items()])
+    return acts_of(docs, "doc_id")
 
 
 _BASIC = f"""
@@ -74,7 +78,8 @@ FROM c
 @query(_BASIC)
 def text_basic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-08, STR-01, STR-03."""
-    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in T.basic_features(F.col("text")).items()])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", T.tokens(T.clean_text(F.col("text"))).alias("words"))
+    return docs.select("doc_id", *[c.alias(k) for k, c in T.basic_features(F.col("text"), F.col("words")).items()])
 
 
 MOODS = [f"mood_{k}" for k in L.MOODS] + [f"epistemic_{k}" for k in L.EPISTEMICS]
@@ -111,7 +116,7 @@ INCIDENCE = ["human_incidence_score", "score_human", "score_prompt", "score_narr
 
 def incidence_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = O.normalized(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return docs.select("doc_id", "source", *[c.alias(k) for k, c in T.human_incidence(F.col("text"), F.col("normal")).items()])
+    return O.staged(docs, ["doc_id", "source"], T.incidence_hits(F.col("normal")), lambda raw: T.human_incidence(F.col("text"), F.col("normal"), raw))
 
 
 @query(f"WITH {_INCIDENCE} SELECT doc_id, {', '.join(INCIDENCE)}, evidence_type FROM i")
@@ -142,8 +147,8 @@ INTERFERENCE = ["score_semantic", "score_format", "injection_hits", "disclaimer_
 
 
 def interference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", T.clean_text(F.col("text")).alias("clean"))
-    return docs.select("doc_id", "source", *[c.alias(k) for k, c in T.interference(F.col("text"), F.col("clean")).items()])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", T.clean_text(F.col("text")).alias("clean")).withColumn("lower", T.any_case(F.col("clean")))
+    return O.staged(docs, ["doc_id", "source"], T.interference_hits(F.col("clean"), F.col("lower")), lambda raw: T.interference(F.col("text"), F.col("clean"), raw))
 
 
 @query(f"WITH {_INTERFERENCE} SELECT doc_id, {', '.join(INTERFERENCE)} FROM i")

@@ -117,3 +117,16 @@ def test_basic_features_stay_in_range(spark, texts):
         assert r["char_count"] == len(t)
         assert all(0 <= r[k] <= 1 for k in ("unique_token_ratio", "alpha_ratio", "upper_ratio", "digit_ratio"))
         assert r["alpha_ratio"] * max(1, len(t)) == pytest.approx(sum(c.isalpha() for c in t))
+
+
+def test_plain_search_never_hides_a_match(spark):
+    """Counting behind the plain search for literals gives what the patterns alone give."""
+    phrases = ["CAN YOU please", "ſi, İ am", "join us, ok", "Si quieres, si", "first 10 followers", "FIRST 3 FOLLOWERſ", "Key ok", "resign resigned", "", None, "my human", "quizas tal vez", "i went home", "http api token"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(phrases)], "k int, t string")
+    groups = [*L.SPEECH_ACTS.values(), *L.MOODS.values(), L.HUMAN, L.NARRATIVE, L.PROMO, L.CALL_TO_ACTION, L.HUMAN_SIGNAL, L.INJECTIONS]
+    plain_hits = [sum((F.regexp_count(F.lower("t"), F.lit("(?U)" + p)) for p in g), F.lit(0)) for g in groups]
+    plain_present = [sum((F.col("t").rlike("(?iu)" + p).cast("int") for p in g), F.lit(0)) for g in groups]
+    row = df.select("k", F.array(*[T.hits(F.lower("t"), g) for g in groups]).alias("a"), F.array(*plain_hits).alias("b"), F.array(*[T.patterns_present(F.col("t"), g) for g in groups]).alias("c"), F.array(*plain_present).alias("d"))
+    for r in row.collect():
+        assert r["a"] == r["b"] and r["c"] == r["d"], phrases[r["k"]]
+    assert T.literals(r"(?:a+b|cd)\p{L}") == frozenset() and T.literals("x(ab|cd)*yz") == {"yz"}
