@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -107,10 +107,12 @@ def join_spread(left: DataFrame, right: DataFrame, keys: list[str], n_col: str,
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
-def drop_repeated_rows(df: DataFrame, id_col: str) -> DataFrame:
-    """Of rows that share an id, keep one. Costs a look at the ids alone where no id repeats."""
-    repeated = df.groupBy(id_col).count().where("count > 1").limit(1)
-    return df.dropDuplicates([id_col]) if repeated.count() else df
+def one_of_each(df: DataFrame, keys: list[Column], order: Column) -> DataFrame:
+    """Of rows with equal keys the one that comes first in that order. Rows meet in a partial aggregate, not in a sort."""
+    names = df.columns
+    first = F.min_by(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]), F.struct(order.isNotNull(), order))  # null first
+    best = df.groupBy(*[c.alias(f"__k{k}") for k, c in enumerate(keys)]).agg(first.alias("best"))
+    return best.select(*[F.col(f"best.c{k}").alias(c) for k, c in enumerate(names)])
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

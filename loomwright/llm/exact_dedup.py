@@ -8,7 +8,8 @@ third of all rows arrives as one row per map task. What goes back to the rows is
 
 Defined results: a null text is empty; a null id sorts after all others; ties can't occur, as equal ids
 with equal texts are the same document (repeated rows are all reported with the same result; the
-filter ``drop_copies`` leaves one); an empty table gives no rows; further columns are ignored by
+filter ``drop_copies`` leaves one); rows that share an id but not a text are grouped each by its own text;
+an empty table gives no rows; further columns are ignored by
 ``exact_groups`` and kept by ``drop_copies``.
 """
 
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import columns_of, drop_repeated_rows, written
+from loomwright.llm.common import columns_of, one_of_each, written
 
 
 def normalised(text: Column) -> Column:
@@ -51,10 +52,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns. Rows without an id stay where no other row has their text, once."""
+    """The documents that stay, with all their columns: of equal texts one row, that with the smallest id (null last), of
+    rows with that id the one with the smallest text before normalisation. Rows that share an id but not a text all count."""
     keep = written(_groups(docs, id_col, text_col, hash128).select(F.col("keep_id").alias("__keep"), F.col("text_sha256").alias("__sha")), "kept")
-    own = F.col(f"`{id_col}`")
-    named = docs.where(own.isNotNull()).join(keep.where("__keep is not null"), own == F.col("__keep"), "left_semi")
-    nameless = docs.where(own.isNull()).withColumn("__own", F.sha2(normalised(F.col(f"`{text_col}`")), 256))
-    nameless = nameless.join(keep.where("__keep is null"), F.col("__own") == F.col("__sha"), "left_semi").dropDuplicates(["__own"]).drop("__own")
-    return drop_repeated_rows(named, id_col).unionByName(nameless)
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    plain, odd = docs.where(own.isNotNull()), docs.where(own.isNull())
+    repeated = plain.groupBy(own.alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id")
+    if repeated.limit(1).count():  # an id alone doesn't name these rows' texts
+        odd = odd.unionByName(plain.join(repeated, own == F.col("__id"), "left_semi"))
+        plain = plain.join(repeated, own == F.col("__id"), "left_anti")
+    odd = odd.withColumn("__own", F.sha2(normalised(text), 256))
+    odd = odd.join(keep, own.eqNullSafe(F.col("__keep")) & (F.col("__own") == F.col("__sha")), "left_semi")
+    return plain.join(keep.where("__keep is not null"), own == F.col("__keep"), "left_semi").unionByName(one_of_each(odd, [own, F.col("__own")], text).drop("__own"))

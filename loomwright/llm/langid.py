@@ -35,6 +35,8 @@ PER_LANGUAGE = 1500
 #: Occurrences of an n-gram among a million of its language from which the language is said to contain it.
 PER_MILLION = 30.0
 UNKNOWN = "und"
+#: A share of a text's n-grams to ask of its language in the filter, and bytes from which it is asked for.
+COVERED, SHORT = 0.1, 20
 SLICE_ROWS = 128
 
 
@@ -136,13 +138,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return found
 
 
-def _predict_texts(column: pa.Array, model: MaskFilter, fp: np.ndarray) -> tuple[list[str], np.ndarray]:
+def _predict_texts(column: pa.Array, model: MaskFilter, fp: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, its share of all corrected hits, and the share of the n-grams that it contains."""
     lower = _framed(column)
     letters = np.asarray(pc.match_substring_regex(lower, r"\pL"))
     names = model.names
-    labels, scores = [UNKNOWN] * len(lower), np.zeros(len(lower))
+    labels, scores, covers = [UNKNOWN] * len(lower), np.zeros(len(lower)), np.zeros(len(lower))
     if not names:
-        return labels, scores
+        return labels, scores, covers
     for texts in text_chunks(lower):
         gram, of = _grams(texts)
         found = model.lookup(gram)
@@ -155,11 +158,12 @@ def _predict_texts(column: pa.Array, model: MaskFilter, fp: np.ndarray) -> tuple
             if letters[row]:
                 labels[row] = names[best[k]]
                 scores[row] = hits[k, best[k]] / total[k] if total[k] > 0 else 0.0
-    return labels, scores
+                covers[row] = min(1.0, hits[k, best[k]] / size[k]) if size[k] else 0.0
+    return labels, scores, covers
 
 
 def predict(docs: DataFrame, model: MaskFilter, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (default: all) with lang_pred and score. Only the text is an input of the prediction."""
+    """The columns ``carry`` (default: all) with lang_pred, score and coverage. Only the text is an input of the prediction."""
     names = docs.columns if carry is None else carry
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
@@ -168,25 +172,31 @@ def predict(docs: DataFrame, model: MaskFilter, text_col: str = "text", carry: l
         model = shared.value
         fp = model.false_positives()
         for batch in slices(batches):
-            labels, scores = _predict_texts(batch.column(0), model, fp)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
+            labels, scores, covers = _predict_texts(batch.column(0), model, fp)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(covers, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score", "coverage"])
 
     kept = [f"{rows.schema[f'c{k}'].name} {rows.schema[f'c{k}'].dataType.simpleString()}" for k in range(len(names))]
-    out = rows.mapInArrow(run, ", ".join([*kept, "lang_pred string", "score double"]))
-    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], F.col("lang_pred"), F.col("score"))
+    out = rows.mapInArrow(run, ", ".join([*kept, "lang_pred string", "score double", "coverage double"]))
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], F.col("lang_pred"), F.col("score"), F.col("coverage"))
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learn from the documents not held out, then predict all: id, held_out, lang_pred, score."""
+    """Learn from the documents not held out, then predict all: id, held_out, lang_pred, score, coverage."""
     docs = columns_of(docs, id_col, text_col, lang_col)
     model = fit(docs.where(~held_out(F.col(id_col)) | F.col(id_col).isNull()), text_col, lang_col, id_col)
-    return predict(docs, model, text_col, [id_col]).select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model, text_col, [id_col]).select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), "lang_pred", "score", "coverage")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents in some language: null texts and those without letters go. A pure filter, with no shuffle."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
+    """The documents in a learnt language, with the predicted one where they name none. A map-only pass after the fit.
+
+    Null texts and those without letters go, and so do texts of ``SHORT`` bytes or more of whose n-grams the best language
+    contains less than the share ``least``. Where no row names a language, all texts with letters stay as they are.
+    """
     model = fit(docs, text_col, lang_col, id_col)
     if not model.names:  # nothing to tell languages by, so ``und`` says nothing about a text
         return docs.where(F.col(f"`{text_col}`").rlike(r"\p{L}"))
-    kept = predict(docs.withColumnsRenamed({c: f"d{k}" for k, c in enumerate(docs.columns)}), model, f"d{docs.columns.index(text_col)}")
-    return kept.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"d{k}").alias(c) for k, c in enumerate(docs.columns)])
+    at = {c: f"d{k}" for k, c in enumerate(docs.columns)}
+    found = predict(docs.withColumnsRenamed(at), model, at[text_col])
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & ((F.col("coverage") >= least) | (F.octet_length(at[text_col]) < SHORT)))
+    return kept.select(*[(F.coalesce(F.col(d), F.col("lang_pred")) if c == lang_col else F.col(d)).alias(c) for c, d in at.items()])

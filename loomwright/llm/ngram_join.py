@@ -40,10 +40,10 @@ from math import ceil, exp, floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import U64, Texts, bucketed, columns_of, discard, join_spread, mix64, new_path, release, reread, text_chunks, written
+from loomwright.llm.common import U64, Texts, bucketed, columns_of, discard, join_spread, mix64, new_path, one_of_each, release, reread, text_chunks, written
 from loomwright.llm.components import components
 
 #: Ratio of the lower ends of neighbouring size windows.
@@ -383,7 +383,6 @@ def keep_one_of_each(docs: DataFrame, n: int = 5, similarity: Fraction = Fractio
     odd = _keyed(odd, n, text_col)
     blank = odd.where(own.isNull() & (F.col("__size") == 0))
     held = odd.join(best, own.eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__b1")) & (F.col("__k2") == F.col("__b2")) & (F.col("__size") == F.col("__bsize")), "left_semi")
-    line = Window.partitionBy(own, "__k1", "__k2", "__size").orderBy(F.col(f"`{text_col}`"))
-    held = held.withColumn("__rank", F.row_number().over(line)).where("__rank = 1").drop("__rank").unionByName(blank).drop("__k1", "__k2", "__size")
+    held = one_of_each(held, [own, F.col("__k1"), F.col("__k2"), F.col("__size")], F.col(f"`{text_col}`")).unionByName(blank).drop("__k1", "__k2", "__size")
     plain = docs.where(own.isNotNull()).join(repeated.where("__rid is not null"), own == F.col("__rid"), "left_anti")
     return plain.join(best, own == F.col("__id"), "left_semi").unionByName(held)

@@ -49,7 +49,7 @@ NAMES_KIND = {
     "card": r"(?i)\b(card|visa|mastercard|credit|carte|karte|tarjeta)\b",
     "phone": r"(?i)\b(phone|tel|call|fax|mobile|cell|telefon|téléphone|teléfono|móvil)\b",
 }
-SPEAKS_AGAINST = r"(?i)(version|release|license|token|secret|hash|key|isbn|order|invoice|id|v)\s*[:=#\"]*\s*$"
+SPEAKS_AGAINST = r"(?i)(?<![\p{L}\p{N}_])(version|release|license|token|secret|hash|key|isbn|order|invoice|id|v)\s*[:=#\"]*\s*$"
 RUN = 256
 BEFORE, AFTER = 32, 8
 LEAST_SCORE = 0.9

@@ -18,6 +18,7 @@ written; rows are written as often as they come; an empty table writes no record
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
 import zlib
@@ -47,13 +48,17 @@ SCHEMA = "record_type string, record_id string, target_uri string, warc_date str
 DATE = "1970-01-01T00:00:00Z"
 
 
+#: How a member with a skip length begins here.
+MARK = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x0c\0sl"
+
+
 def gzip_member(head: bytes, body: bytes) -> bytes:
     """A gzip member whose extra field ``sl`` has its own length and its plain length."""
     squeeze = zlib.compressobj(1, zlib.DEFLATED, -15)
     packed = squeeze.compress(head) + squeeze.compress(body) + squeeze.flush()
     plain = head + body
     size = 12 + 12 + len(packed) + 8
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(plain)) + packed + struct.pack("<II", zlib.crc32(plain), len(plain) & 0xFFFFFFFF)
+    return MARK + struct.pack("<HII", 8, size, len(plain)) + packed + struct.pack("<II", zlib.crc32(plain), len(plain) & 0xFFFFFFFF)
 
 
 def skip_length(start: bytes) -> int | None:
@@ -92,15 +97,14 @@ class WarcReader(DataSourceReader):
                 yield one
 
     def partitions(self) -> list[FilePart]:
+        """Planned from names and sizes alone; what can be split is seen where it is read."""
         fs, root = pafs.FileSystem.from_uri(self.path)
         found = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)) if fs.get_file_info(root).type != pafs.FileType.File else [fs.get_file_info(root)]
         parts = []
         for info in sorted(found, key=lambda x: x.path):
             if info.is_file and info.path.endswith((".warc", ".warc.gz")):
-                with fs.open_input_file(info.path) as file:
-                    splits = skip_length(file.read(24)) is not None
-                step = self.split if splits else info.size
-                parts += [FilePart(info.path, at, min(at + step, info.size)) for at in range(0, info.size, max(1, step))]
+                step = max(1, self.split if info.path.endswith(".gz") else info.size)
+                parts += [FilePart(info.path, at, min(at + step, info.size)) for at in range(0, info.size, step)]
         return parts
 
     def read(self, partition: FilePart | None) -> Iterator[pa.RecordBatch]:
@@ -128,12 +132,19 @@ class WarcReader(DataSourceReader):
         return all(headers.get(HEADERS[c]) in values for c, values in self.allowed.items())
 
     def _members(self, file: pa.NativeFile, part: FilePart) -> Iterator[tuple[dict, int, bytes | None]]:
+        """Records of the members from the first marked one in the part to the first marked one behind it, or the end.
+
+        A member without a mark (its skip length in the way this writer says it) so belongs to the part of the marked one
+        before it, whatever stands at a border.
+        """
         at, total = part.start, file.size()
         if at:
-            at = self._next_member(file, at, total)
-        while at < min(part.stop, total):
+            at = self._next_member(file, at, min(part.stop, total), total)
+        while at < total:
             file.seek(at)
             start = file.read(4096)
+            if at >= part.stop and start.startswith(MARK):
+                return
             length = skip_length(start)
             inflate = zlib.decompressobj(31)
             plain = inflate.decompress(start)
@@ -142,10 +153,8 @@ class WarcReader(DataSourceReader):
                 if not more:
                     break
                 plain += inflate.decompress(more)
-            if cut < 0:
-                raise ValueError(f"no WARC header at byte {at} of {part.path}")
-            headers = parse_fields(plain[:cut])
-            keep = self._passes(headers)
+            headers = parse_fields(plain[:cut]) if cut >= 0 and plain.startswith(b"WARC/") else {}
+            keep = content_length(headers) is not None and self._passes(headers)
             need = keep and self.wanted
             block = plain[cut + 4 :]
             if keep and not need:
@@ -160,69 +169,67 @@ class WarcReader(DataSourceReader):
                         parts.append(piece)
                 block = b"".join(parts)
             if length is None:
-                length = file.tell() - at - len(inflate.unused_data)
+                length = max(1, file.tell() - at - len(inflate.unused_data))
             if keep:
                 yield (headers, *http_payload(headers, block, need))
             at += length
 
     @staticmethod
-    def _next_member(file: pa.NativeFile, at: int, total: int) -> int:
-        """The first member at or after ``at``: one whose skip length leads to another member or the end."""
-        window = b""
+    def _next_member(file: pa.NativeFile, at: int, stop: int, total: int) -> int:
+        """The first marked member from ``at`` to ``stop``, one whose skip length leads to another member or the end; else the end."""
         base = at
-        while base + len(window) < total or window:
+        while base < stop:
             file.seek(base)
             window = file.read(1 << 20)
-            k = window.find(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x0c\0sl")
+            k = window.find(MARK)
             while k >= 0:
+                if base + k >= stop:
+                    return total
                 file.seek(base + k)
                 nxt = base + k + (skip_length(file.read(24)) or 0)
                 file.seek(min(nxt, total))
                 if nxt == total or nxt > base + k and file.read(3) == b"\x1f\x8b\x08":
                     return base + k
-                k = window.find(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x0c\0sl", k + 1)
+                k = window.find(MARK, k + 1)
             if len(window) < 32:
                 return total
             base += len(window) - 16
-            if base + 24 >= total:
-                return total
         return total
 
     def _plain(self, file: pa.NativeFile) -> Iterator[tuple[dict, int, bytes | None]]:
+        """Records one after another. Behind a record without a valid length, the next line that opens a record is looked for."""
+        held = io.BufferedReader(file, 1 << 16)
         while True:
-            head = b""
-            while not head.endswith(b"\r\n\r\n"):
-                line = read_line(file)
-                if not line:
-                    return
-                if head or line.strip():
-                    head += line
-            headers = parse_fields(head[:-4])
-            size = int(headers.get("Content-Length", 0))
+            head = held.readline(1 << 20)
+            if not head:
+                return
+            if not head.startswith(b"WARC/"):
+                continue
+            while (line := held.readline(1 << 20)).strip():
+                head += line
+            headers = parse_fields(head)
+            size = content_length(headers)
+            if size is None:
+                continue
+            start = held.tell()
             if self._passes(headers):
-                need = self.wanted
-                block = file.read(size) if need else file.read(min(size, 1 << 14))
-                yield (headers, *http_payload(headers, block, need))
-                file.seek(file.tell() + size - len(block))
-            else:
-                file.seek(file.tell() + size)
+                block = held.read(size if self.wanted else min(size, 1 << 14))
+                while not self.wanted and b"\r\n\r\n" not in block and len(block) < size and (more := held.read(min(size - len(block), 1 << 14))):
+                    block += more
+                yield (headers, *http_payload(headers, block, self.wanted))
+            held.seek(start + size)
 
 
-def read_line(file: pa.NativeFile) -> bytes:
-    line = b""
-    while not line.endswith(b"\n"):
-        byte = file.read(1)
-        if not byte:
-            break
-        line += byte
-    return line
+def content_length(headers: dict[str, str]) -> int | None:
+    text = headers.get("Content-Length", "")
+    return int(text) if text.isascii() and text.isdigit() else None
 
 
 def parse_fields(head: bytes) -> dict[str, str]:
     """Named fields, continuation lines joined; the version line is left out."""
     fields: dict[str, str] = {}
     name = ""
-    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
         if line[:1] in (" ", "\t") and name:
             fields[name] += " " + line.strip()
         elif ":" in line:
@@ -233,15 +240,19 @@ def parse_fields(head: bytes) -> dict[str, str]:
 
 
 def http_payload(headers: dict[str, str], block: bytes, need: bool) -> tuple[int, bytes | None]:
-    """Length and content of the payload. A revisit, and a payload not decoded, have the length of their HTTP header."""
-    size = int(headers.get("Content-Length", 0))
-    if "application/http" not in headers.get("Content-Type", ""):
+    """Length and content of the payload: what follows the HTTP header, in other blocks all.
+
+    A revisit has the length that its HTTP header says, and no content. An HTTP block without an end of its header has none.
+    """
+    size = content_length(headers) or 0
+    if not headers.get("Content-Type", "").startswith("application/http"):
         return size, block[:size] if need else None
     cut = block.find(b"\r\n\r\n")
-    if headers.get("WARC-Type") == "revisit" or not need:
-        length = parse_fields(block[: max(0, cut)]).get("Content-Length")
-        return int(length) if length else max(0, size - cut - 4), None
-    return size - cut - 4, block[cut + 4 : size]
+    start = cut + 4 if 0 <= cut <= size - 4 else size
+    if headers.get("WARC-Type") == "revisit":
+        said = content_length(parse_fields(block[: max(0, cut)]))
+        return said if said is not None else size - start, None
+    return size - start, block[start:size] if need else None
 
 
 @dataclass

@@ -76,6 +76,14 @@ def test_exact_groups(docs, table):
     assert kept.columns == docs.columns and sorted(norm(r["text"]) for r in kept.collect()) == sorted(groups)
 
 
+def test_drop_copies_keeps_every_text_of_a_repeated_id(spark):
+    rows = [(1, "a"), (1, "b"), (0, "b"), (1, "a  z"), (1, "a z"), (None, "n"), (None, "n"), (None, "a"), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 2, 5):
+        got = sorted(map(str, (tuple(r) for r in exact_dedup.drop_copies(df.repartition(parts)).collect())))
+        assert got == sorted(map(str, [(1, "a"), (0, "b"), (1, "a  z"), (None, "n"), (2, None)]))
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -182,6 +190,45 @@ def test_warc_reads_foreign_files(spark, tmp_path):
     assert Counter((r["record_id"], r["payload_bytes"], len(r["payload"])) for r in rows) == {("<r2>", 9000, 9000): 2, ("<r3>", 1, 1): 2}
 
 
+def test_warc_odd_archives(spark, tmp_path):
+    """Marked and unmarked members in one split file, records without a valid length, HTTP blocks without an end or with a long header."""
+    import gzip
+
+    def record(i, body, kind="text/plain", length=None):
+        return f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <r{i}>\r\nContent-Type: {kind}\r\nContent-Length: {len(body) if length is None else length}\r\n\r\n{body}\r\n\r\n".encode()
+
+    long_head = "HTTP/1.1 200 OK\r\nX: " + "h" * 40000 + "\r\n\r\n"
+    rng = random.Random(3)
+    noise = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 900)))
+    bodies = [noise() for _ in range(60)]
+    plain = [record(i, b) for i, b in enumerate(bodies)]
+    mixed = b"".join(gzip.compress(p) if i % 3 else warc.gzip_member(p, b"") for i, p in enumerate(plain))
+    odd = [record(100, "lost", length="12x"), record(101, "HTTP/1.1 200 OK", "application/http"), record(102, long_head + "body", "application/http"), record(103, "HTTP/1.1 200 OK\r\nContent-Length: 7\r\n\r\nfour", "application/http")]
+    for name, data in {"a": mixed, "b": b"".join(plain)}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / ("x.warc.gz" if name == "a" else "x.warc")).write_bytes(data + b"".join(gzip.compress(p) if name == "a" else p for p in odd))
+    warc.register(spark)
+    want = {f"<r{i}>": (len(b), b.encode()) for i, b in enumerate(bodies)} | {"<r101>": (0, b""), "<r102>": (4, b"body"), "<r103>": (4, b"four")}
+    for name in "ab":
+        for split in ("150", "1000", "1000000"):
+            read = spark.read.format("warc").option("path", f"file://{tmp_path}/{name}").option("splitBytes", split)
+            rows = read.load().collect()
+            assert len(rows) == len(want) and {r["record_id"]: (r["payload_bytes"], bytes(r["payload"])) for r in rows} == want
+            lengths = read.option("payload", "false").load().select("record_id", "payload_bytes").collect()
+            assert {r["record_id"]: r["payload_bytes"] for r in lengths} == {k: n for k, (n, _) in want.items()}
+
+
+def test_language_stage(spark):
+    rng = random.Random(2)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, text("abcde" if i % 2 else "vwxyz", 40), ["one", "two"][i % 2], 7) for i in range(200)]
+    rows += [(300, text("abcde", 30), None, 7), (301, text("vwxyz", 30), None, 7), (302, "\u0416\u0434" * 60, None, 7), (303, "12 !!", "one", 7), (304, None, "one", 7), (305, "\u0436", "two", 7), (None, text("abcde", 9), None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    got = {r["doc_id"]: r["lang"] for r in langid.keep_identified(df, least=langid.COVERED).where("doc_id >= 300 or doc_id is null").collect()}
+    assert got == {300: "two", 301: "one", 305: "two", None: "two"} and langid.keep_identified(df).columns == df.columns
+    assert langid.keep_identified(df.withColumn("lang", F.lit(None).cast("string"))).count() == 205
+
+
 def shingles(t, n):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
