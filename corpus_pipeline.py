@@ -2,6 +2,11 @@
 
 Stages before the last return the columns of ``documents``. Between stages the rows are written as
 Parquet to the shared folder and read again, which cuts the lineage.
+
+Defined results: null and blank texts go in the first stage; rows without an id stay where no other row has their
+text or nearly it; of rows that share an id, each text counts; repeated rows and ties leave one row in the second
+and third stage, the one with the smallest id; an empty table gives no rows; further columns, whatever their names,
+go along until the last stage.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomwright.llm.common import written
 from loomwright.llm.exact_dedup import drop_copies
-from loomwright.llm.langid import keep_identified
+from loomwright.llm.langid import COVERED, keep_identified
 from loomwright.llm.mixing import mix_documents
 from loomwright.llm.ngram_join import keep_one_of_each
 from loomwright.llm.packing import packed
@@ -20,8 +25,8 @@ from loomwright.llm.queries import TOKENIZER, tokenizer_file
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letters) go."""
-    return keep_identified(docs)
+    """Documents in no learnt language go (no letters, or almost no n-gram of any); the others get theirs where they name none."""
+    return keep_identified(docs, least=COVERED)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
