@@ -619,6 +619,30 @@ def test_embeddings(spark):
     assert embedding_dedup.near_groups(df.where("vec_id = -1")).count() == 0
 
 
+def test_exact_embedding_links(spark):
+    """With ``exact`` links and groups are those of brute force, though near vectors lie on borders of cells."""
+    rng = np.random.default_rng(16)
+    heads = rng.normal(size=(12, 8))
+    x = np.concatenate((rng.normal(size=(900, 8)), heads[rng.integers(0, 12, 2200)] + rng.normal(size=(2200, 8)) * 0.45)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.9
+    label = np.arange(len(x))
+    while True:
+        new = np.where(hit, label[None, :], len(x)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_groups(df, exact=True).collect()}
+    assert got == {i: (int(hit[i].sum()) - 1, int(label[i])) for i in range(len(x))}
+    centres = embedding_dedup.spherical_kmeans(unit, 40)
+    home, row, cell = embedding_dedup.possible_cells(unit, centres, 0.9)
+    reached = np.zeros((len(x), 40), bool)
+    reached[row, cell] = True
+    a, b = np.nonzero(hit)
+    assert reached[a, home[b]].all() and reached.mean() < 0.9
+
+
 def test_embedding_recall_with_many_cells(spark):
     df = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     near = df.select((F.col("vec_id") + 10**6).alias("vec_id"), F.transform("embedding", lambda v: (v + 0.05 * F.sin(F.col("vec_id") * 37 + v * 1000)).cast("float")).alias("embedding"))
