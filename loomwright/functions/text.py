@@ -31,6 +31,23 @@ def clean_text(text: Column) -> Column:
     return strip(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
+def compatible(text: Column) -> Column:
+    """Unicode compatibility form (NFKC), which no built-in function gives; texts of ASCII alone stay as they are."""
+    import pandas as pd
+
+    def form(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+    form.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(form, "string")(text)
+
+
+def message_text(text: Column) -> Column:
+    """NFKC, URLs as ``<URL>``, white space as single spaces, trimmed; null is empty."""
+    t = F.regexp_replace(compatible(F.coalesce(text, F.lit(""))), "(?U)" + L.URL, " <URL> ")
+    return strip(F.regexp_replace(t, r"(?U)\s+", " "))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

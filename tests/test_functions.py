@@ -130,3 +130,12 @@ def test_plain_search_never_hides_a_match(spark):
     for r in row.collect():
         assert r["a"] == r["b"] and r["c"] == r["d"], phrases[r["k"]]
     assert T.literals(r"(?:a+b|cd)\p{L}") == frozenset() and T.literals("x(ab|cd)*yz") == {"yz"}
+
+
+def test_message_text(spark):
+    texts = ["\ufb01ne \u2460  https://a.b/c?d x", None, "\u3000www.x.y\n", "\uff21\uff22 \u00bd", "plain  text "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    got = {r["k"]: r["m"] for r in df.select("k", T.message_text(F.col("t")).alias("m")).collect()}
+    for k, t in enumerate(texts):
+        plain = re.sub(r"https?://\S+|www\.\S+", " <URL> ", unicodedata.normalize("NFKC", t or ""))
+        assert got[k] == re.sub(r"\s+", " ", plain).strip()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import itertools
 import math
 
@@ -214,3 +215,41 @@ def test_pragmatic_scores_in_range_and_repeatable(spark):
     assert e.count() == 14 and not e.where("weak_structure").count()
     p = pragmatics.posts(df, a, e).first()
     assert p["message_count"] == 15 and len(p["top_concerns"]) == 3
+
+
+def test_hooks(spark):
+    from loomwright.operators import hooks
+
+    df = spark.createDataFrame([(1, "Alpha beta beta", "2024-01-01 10:20:00"), (2, "", "2024-01-01 10:50:00"), (3, None, None)], "id long, text string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    series = hooks.token_series(df, "text", "at", lambda t: F.split(F.lower(t), " ")).where("token = 'beta'").collect()
+    assert [(str(r["hour"]), r["count"]) for r in series] == [("2024-01-01 10:00:00", 2)]
+    hashed = {r["id"]: r["embedding"] for r in hooks.select_backend("hashed", size=8).encode(df, "text").collect()}
+    assert abs(sum(v * v for v in hashed[1]) - 1) < 1e-6 and hashed[2] == hashed[3] == [0.0] * 8
+    coded = {r["id"]: r["embedding"] for r in hooks.select_backend("encoder", encode=lambda ts: [[float(len(t)), 1.0] for t in ts], size=2).encode(df, "text").collect()}
+    assert coded == {1: [24.0, 1.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+    scores = df.select(hooks.select_scorer("none", {})(F.col("text")).alias("s")).first()["s"]
+    assert set(scores.values()) == {0.5} and hooks.select_scorer("own", {"own": F.length}) is F.length
+    sizes = hooks.apply_to_groups(df, ["id"], lambda g: g[["id"]].assign(n=len(g)), "id long, n long")
+    assert sizes.count() == 3
+
+
+def test_flattened_replies(spark):
+    from loomwright.operators import pairs
+
+    nested = [{"id": "a", "replies": [{"id": "b", "replies": [{"id": "c"}]}, {"id": "d", "depth": 7, "thread_path": "x/y", "replies": [{"id": "e"}]}, "odd"]}, {"replies": [{"id": "f"}]}, {"id": "g", "parent_id": "z", "replies": None}]
+    df = spark.createDataFrame([(9, json.dumps(nested)), (8, None), (None, json.dumps([{"id": "h"}]))], "post long, c string")
+    got = {r["id"]: (r["post_id"], r["parent_id"], r["depth"], r["thread_path"]) for r in pairs.flattened_replies(df, "post", "c").collect()}
+    assert got == {"a": (9, None, 0, "9/a"), "b": (9, "a", 1, "9/a/b"), "c": (9, "b", 2, "9/a/b/c"), "d": (9, "a", 7, "x/y"), "e": (9, "d", 2, "x/y/e"), None: (9, None, 0, "9"), "f": (9, None, 1, "9/f"), "g": (9, "z", 0, "9/g"), "h": (None, None, 0, "h")}
+
+
+def test_greedy_pairs(spark):
+    from loomwright.operators import pairs
+
+    docs = spark.createDataFrame([(1, "s", "one text here"), (2, "s", "two texts here"), (3, "t", "three texts"), (4, "t", "One  text here"), (5, "u", "dropped place"), (6, "t", "x")], "id long, community string, excerpt string")
+    rows = [(1, 2, 0.9, "en", 1), (2, 1, 0.9, "en", 1), (1, 3, 0.5, "en", 2), (4, 2, 0.95, "en", 1), (1, 4, 0.99, "en", 3), (3, 5, 0.8, "en", 1), (3, 6, 0.8, "en", 2), (2, 2, 1.0, "en", 4), (2, 3, 0.4, " ", 5), (3, 1, 0.5, "en", 3)]
+    matches = spark.createDataFrame(rows, "a long, b long, score double, lang string, place int")
+    best = pairs.top_candidates(matches, ["a", "place"], 0.1, 0.995, 100)
+    assert [(r["a"], r["b"]) for r in best.collect()][:3] == [(1, 4), (4, 2), (2, 1)]
+    described = pairs.described_pairs(best, docs, 5, ["u"])
+    got = {(r["a"], r["b"]) for r in pairs.greedy_pairs(described, ["a", "place"], 10, 100).collect()}
+    assert got == {(4, 2), (3, 1)}  # (1, 4) has one text twice; (1, 2) and (2, 1) have the texts of (4, 2); (1, 3) is (3, 1)
