@@ -711,3 +711,93 @@ def test_chunks_rebuild_texts_and_resist_insertions():
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     compare(queries.queries()[name](spark, SF), queries.oracle_sql()[name], connect(SF))
+
+
+def plain_chunks(data):
+    """The chunks of a text by the definition: the gear hash of the 32 bytes that end at each place, least of every 48."""
+    window, longest, gear = substring_dedup.WINDOW, substring_dedup.LONGEST, [int(x) for x in substring_dedup.GEAR]
+    h = [sum(gear[data[i - k]] << k for k in range(window)) % (1 << 32) if i >= window - 1 else 0xFFFFFFFF for i in range(len(data))]
+    cuts = {min(range(i, i + longest), key=lambda k: (h[k], -k)) + 1 for i in range(len(data) - longest + 1)} | ({len(data)} if data else set())
+    ends = sorted(cuts)
+    return list(zip([0, *ends][:-1], ends, strict=True))
+
+
+def test_repeated_spans_are_those_of_brute_force(spark):
+    rng = random.Random(21)
+    shared = [prose(60, rng), prose(25, rng), "ab" * 200, "z" * 150]
+    texts = [prose(rng.randint(0, 60), rng) + " " + rng.choice(shared) + " " + prose(rng.randint(0, 60), rng) for _ in range(40)]
+    texts += [shared[0], shared[0], "", None, "short", shared[1] + "\n" + shared[0] + shared[1], "é" * 300, prose(400, rng) + shared[0] + prose(10, rng) + shared[0]]
+    rows = [(i if i % 9 else i // 2, t) for i, t in enumerate(texts)]  # some ids come twice
+    rows.append((None, shared[0]))
+    seen, own = {}, []
+    for i, t in rows:
+        data = (t or "").encode()
+        if i is None:
+            continue
+        for a, b in plain_chunks(data):
+            key = data[max(0, a - 32) : b]
+            seen.setdefault(key, set()).add(i)
+            own.append((i, a, b, key))
+    want, by = [], {}
+    for i, a, b, key in own:
+        if len(seen[key]) > 1:
+            by.setdefault(i, []).append((a, b, min(seen[key])))
+    for i, found in by.items():
+        spans, last = [], None
+        for a, b, first in sorted(found):
+            begin = max(a - 32, 0)
+            if last is None or last < begin:
+                spans.append([begin, b, 0, first, 0])
+            at = min(max(begin, last if last is not None else begin), b)
+            span = spans[-1]
+            span[0], span[1], span[2], span[3] = min(span[0], at), max(span[1], b), span[2] + 1, min(span[3], first)
+            span[4] += (b - at) * (i != first)
+            last = b
+        want += [(i, a, b - a, n, first, removed) for a, b, n, first, removed in spans if b - a >= 96]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring_dedup.repeated_spans(df).select("doc_id", "start", "length", "n_chunks", "first_doc_id", "removed_bytes").collect()
+    single = {i for i in {i for i, _ in rows} if sum(j == i for j, _ in rows) == 1}
+    assert Counter(tuple(r) for r in got if r[0] in single) == Counter(w for w in want if w[0] in single) and any(w[0] in single for w in want)
+
+
+def test_language_scores_are_those_of_brute_force(spark):
+    rng = random.Random(31)
+    letters = {"aa": "abcdeé", "bb": "cdefgh", "cc": "ghijkl"}
+    word = lambda l: "".join(rng.choice(letters[l]) for _ in range(4))
+    rows = [(i, " ".join(word(l) for _ in range(rng.randint(1, 60))), l) for i, l in enumerate(rng.choice(sorted(letters)) for _ in range(150))]
+    rows += [(900, "ABC\tde", None), (901, "ab", None), (902, "", None), (903, "xyz " * 40, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    grams = lambda t: [b[k : k + 4] for b in [bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in f" {(t or '').lower()} ".encode())] for k in range(len(b) - 3)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    slots = langid.MaskFilter.slots
+    at = lambda g: [int(x[0]) for x in slots(np.array([int.from_bytes(g, "big")], np.uint64))]
+    filled = {}
+    for l in letters:
+        counts, size = Counter(), 0
+        for i, t, own in rows:
+            if own == l and not held(i):
+                counts.update(grams(t))
+                size += len(t.encode())
+        filled[l] = {s for g, n in counts.items() if n >= max(2.0, size * langid.PER_MILLION / 1e6) for s in at(g)}
+    fp = {l: (len(filled[l]) / langid.SLOTS) ** langid.HASHES for l in letters}
+    for r in langid.identified(df).collect():
+        g = grams(rows[r["doc_id"]][1] if r["doc_id"] < 900 else dict((i, t) for i, t, _ in rows)[r["doc_id"]])
+        hits = {l: max(0.0, (sum(all(s in filled[l] for s in at(x)) for x in g) - len(g) * fp[l]) / (1 - fp[l])) for l in sorted(letters)}
+        best = max(hits, key=lambda l: hits[l])
+        if r["doc_id"] == 902:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            assert r["lang_pred"] == best and r["held_out"] == held(r["doc_id"])
+            assert abs(r["score"] - (hits[best] / sum(hits.values()) if sum(hits.values()) else 0.0)) < 1e-9
+
+
+def test_mix_takes_its_target_from_each_source(spark):
+    df = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    rows = mixing.mix_counts(df).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r["source_size"], round(r["target"], 6)), []).append(r)
+    assert len(by) > 3
+    for (size, target), own in by.items():
+        assert abs(sum(r["taken"] for r in own) - target) <= max(16, 0.01 * target) and target <= 3 * size + 1e-6
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in own)
