@@ -75,7 +75,9 @@ def discard(*tables: DataFrame | None) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished steps now. It does so when their plans are collected as garbage,
-    which on a driver with little to do may be long after the last read."""
+    which on a driver with little to do may be long after the last read. The plan that ran last is held until another
+    one runs, so one without data does."""
+    spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
