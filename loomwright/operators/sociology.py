@@ -162,3 +162,17 @@ def sample_by(rows: DataFrame, groups: list[str], id_col: str, n: int, seed: int
     """n rows of each group by a seeded hash of the id, with their place; the same at every run."""
     draw = F.md5(F.concat(F.lit(f"{seed}/"), F.col(id_col).cast("string")))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*groups).orderBy(draw, id_col))).where(F.col("place") <= n)
+
+
+def concentration(degrees: DataFrame, value: str, share: float) -> DataFrame:
+    """nodes, top_share (of the total, by the top ``share`` of nodes), gini. Windows run over distinct values, not over nodes."""
+    by = degrees.groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
+    rows = by.select("v", "c", F.coalesce(F.sum("c").over(up), F.lit(0)).alias("below"), F.coalesce(F.sum("c").over(down), F.lit(0)).alias("above"), F.sum("c").over(everything).alias("n"), F.sum(F.col("v") * F.col("c")).over(everything).alias("total"))
+    most = F.greatest(F.lit(1), F.ceil(share * F.col("n")))
+    taken = F.least(F.col("c"), F.greatest(F.lit(0), most - F.col("above"))) * F.col("v")
+    ranks = F.col("v") * (F.col("c") * F.col("below") + F.col("c") * (F.col("c") + 1) / 2)
+    n, total = F.first("n"), F.first("total")
+    return rows.agg(n.alias("nodes"), (F.sum(taken) / total).alias("top_share"), (2 * F.sum(ranks) / (n * total) - (n + 1) / n).alias("gini"))

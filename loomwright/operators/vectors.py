@@ -52,25 +52,26 @@ def nearest(left: DataFrame, right: DataFrame, k: int, part: str, floor: float =
             size = np.sqrt((x * x).sum(1, keepdims=True))
             return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
         x = np.zeros((t.num_rows, width))
-        for row, (i, v) in enumerate(zip(t.column("index").to_numpy(), t.column("value").to_numpy(), strict=True)):
-            x[row, i] = v
+        index, value = (t.column(c).combine_chunks() for c in ("index", "value"))
+        x[np.repeat(np.arange(t.num_rows), index.value_lengths().to_numpy()), index.flatten().to_numpy()] = value.flatten().to_numpy()
         return x
 
     def run(t: pa.Table) -> pa.Table:
         side = t.column("side").to_numpy()
         p, q = t.take(pa.array(np.flatnonzero(side == 0))), t.take(pa.array(np.flatnonzero(side == 1)))
-        found: dict[str, list] = {"left_id": [], "right_id": [], "score": []}
-        if p.num_rows and q.num_rows:
-            scores = np.round(dense(p) @ dense(q).T, 12)
-            left_ids, right_ids = p.column("id").to_numpy(), q.column("id").to_numpy()
-            for i in range(len(left_ids)):
-                row = np.where(right_ids == left_ids[i], -np.inf, scores[i])
-                best = np.lexsort((right_ids, -row))[:k]
-                for j in best[row[best] > floor]:
-                    found["left_id"].append(left_ids[i])
-                    found["right_id"].append(right_ids[j])
-                    found["score"].append(row[j])
-        return pa.table({"left_id": pa.array(found["left_id"], t.schema.field("id").type), "right_id": pa.array(found["right_id"], t.schema.field("id").type), "score": pa.array(found["score"], pa.float64())})
+        kinds = [("left_id", t.schema.field("id").type), ("right_id", t.schema.field("id").type), ("score", pa.float64())]
+        if not p.num_rows or not q.num_rows:
+            return pa.schema(kinds).empty_table()
+        scores = np.round(dense(p) @ dense(q).T, 12)
+        left_ids, right_ids = p.column("id").to_numpy(), q.column("id").to_numpy()
+        scores[left_ids[:, None] == right_ids[None, :]] = -np.inf
+        least = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
+        row, col = np.nonzero((scores >= least[:, None]) & (scores > floor))  # the k best of each row, and ties with the last
+        order = np.lexsort((right_ids[col], -scores[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < k], col[place < k]
+        return pa.table([pa.array(left_ids[row], kinds[0][1]), pa.array(right_ids[col], kinds[1][1]), pa.array(scores[row, col])], names=[n for n, _ in kinds])
 
     per_block = a.unionByName(b).groupBy(part, "mine", "its").applyInArrow(run, f"left_id {kind}, right_id {kind}, score double")
     place = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))

@@ -413,3 +413,33 @@ def concentration_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     volumes = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_regionkey").count()  # 25 nations
     return stats.gini_and_shares(volumes, "count").select("gini", S.concentration_regime(F.col("gini")).alias("regime"))
+
+
+@query("""WITH j AS (SELECT c_nationkey::BIGINT AS src, s_suppkey::BIGINT AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+d AS (SELECT dst, count(DISTINCT src)::DOUBLE AS v FROM j GROUP BY 1), k AS (SELECT v, row_number() OVER (ORDER BY v) AS i, row_number() OVER (ORDER BY v DESC) AS p, count(*) OVER () AS n, sum(v) OVER () AS total FROM d)
+SELECT any_value(n) AS nodes, sum(v) FILTER (p <= greatest(1, ceil(0.02 * n))) / any_value(total) AS top_share, 2 * sum(i * v) / (any_value(n) * any_value(total)) - (any_value(n) + 1) / any_value(n) AS gini FROM k""")
+def network_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR-10: share of in-degree that the top 2 % of nodes have, and its Gini. Degrees are few distinct numbers, so they are counted first."""
+    j = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = j.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    degrees = j.join(table(spark, sf_dir, "supplier").select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_suppkey").agg(F.count_distinct("c_nationkey").alias("v"))
+    return S.concentration(degrees, "v", 0.02)
+
+
+@query("""WITH e AS (SELECT user_id % 4 AS kind, user_id || '/' || event_type AS message, event_id, value FROM events)
+SELECT kind, message, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY kind, message ORDER BY event_id) AS k FROM e) WHERE k = 1""")
+def first_wins_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-02: the first record of each type and id."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("kind"), F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("message"), "event_id", "value")
+    return rows.groupBy("kind", "message").agg(F.min(F.struct("event_id", "value")).alias("f")).select("kind", "message", "f.*")
+
+
+@query("""WITH p AS (SELECT event_id AS ord, CASE WHEN event_id % 3 > 0 THEN user_id::VARCHAR END AS id, event_type AS title, floor(value / 10)::BIGINT AS body FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY id, CASE WHEN id IS NULL THEN title END, CASE WHEN id IS NULL THEN body END ORDER BY ord) AS n FROM p) SELECT ord, id, title, body FROM k WHERE n = 1""")
+def dedup_by_id_or_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-03: the first post of each id, of those without one the first of each title and body."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").alias("ord"), F.when(F.col("event_id") % 3 > 0, F.col("user_id").cast("string")).alias("id"), F.col("event_type").alias("title"), F.floor(F.col("value") / 10).cast("long").alias("body"))
+    lacking = F.col("id").isNull()
+    keys = [F.col("id").alias("k1"), F.when(lacking, F.col("title")).alias("k2"), F.when(lacking, F.col("body")).alias("k3")]
+    return rows.groupBy(*keys).agg(F.min(F.struct("ord", "id", "title", "body")).alias("f")).select("f.*")

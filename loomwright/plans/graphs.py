@@ -8,23 +8,13 @@ from pyspark.sql import functions as F
 from loomwright.operators import graphs as G
 from loomwright.plans.registry import query, table
 
-_EDGES = """WITH j AS (SELECT c.c_nationkey AS src, s.s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' AND l_linenumber = 1),
+_EDGES = """WITH j AS (SELECT c.c_nationkey AS src, s.s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey),
 e AS (SELECT src::BIGINT AS src, dst::BIGINT AS dst, count(*)::DOUBLE AS weight FROM j GROUP BY 1, 2 HAVING count(*) >= 2) """
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges of the SQL: returned first lines only."""
-    return _between(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_linenumber = 1"))
-
-
-def _all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges of all lines, for the queries that no SQL ties to some of them."""
-    return _between(spark, sf_dir, table(spark, sf_dir, "lineitem"))
-
-
-def _between(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
-    """Nation of the customer to nation of the supplier; at least twice."""
-    j = lines.select("l_orderkey", "l_suppkey").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """Nation of the customer to nation of the supplier, over all lines; at least twice."""
+    j = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     j = j.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("src")), F.col("o_custkey") == F.col("c_custkey"))
     j = j.join(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("dst")), F.col("l_suppkey") == F.col("s_suppkey"))
     return G.weighted(j.select("src", "dst", F.lit(1).alias("weight")), 2)
@@ -38,7 +28,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_EDGES + "SELECT node, sum(i) AS in_degree, sum(o) AS out_degree FROM (SELECT src AS node, 0 AS i, weight AS o FROM e UNION ALL SELECT dst, weight, 0 FROM e) GROUP BY 1")
 def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GR-02, GR-08."""
+    """GR-02."""
     return G.degrees(_edges(spark, sf_dir))
 
 
@@ -51,22 +41,22 @@ def graph_reciprocity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR-03; tests hold it against numpy."""
-    return G.pagerank(_all_edges(spark, sf_dir))
+    return G.pagerank(_edges(spark, sf_dir))
 
 
 @query()
 def graph_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR-04; tests hold it against path counting."""
-    return G.betweenness(_all_edges(spark, sf_dir))
+    return G.betweenness(_edges(spark, sf_dir))
 
 
 @query()
 def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR-05, GR-08."""
-    return G.communities(_all_edges(spark, sf_dir))
+    return G.communities(_edges(spark, sf_dir))
 
 
 @query()
 def graph_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR-07."""
-    return G.centrality(_all_edges(spark, sf_dir))
+    return G.centrality(_edges(spark, sf_dir))

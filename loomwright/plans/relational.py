@@ -208,7 +208,7 @@ _VOLUMES = "WITH v AS (SELECT count(*)::DOUBLE AS v FROM orders GROUP BY o_custk
 
 @query(_VOLUMES + "SELECT any_value(n) AS n, any_value(total) AS total, 2 * sum(i * v) / (any_value(n) * any_value(total)) - (any_value(n) + 1) / any_value(n) AS gini, sum(v) FILTER (j <= 5) / any_value(total) AS top5_share, sum(v) FILTER (j <= 10) / any_value(total) AS top10_share FROM k")
 def gini_topshare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-46, AGG-47, GR-10, STR-36's input."""
+    """AGG-46, AGG-47."""
     return stats.gini_and_shares(table(spark, sf_dir, "orders").groupBy("o_custkey").count(), "count")
 
 
@@ -231,7 +231,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_EVAL + "SELECT * FROM m")
 def label_eval_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MTH-11, JN-15: labels against a punctuation rule."""
+    """MTH-11: labels against a punctuation rule."""
     return _judged(spark, sf_dir)
 
 
@@ -246,7 +246,7 @@ def label_eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, text AS first_text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def first_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-02, SET-03, SET-06: the first of equal keys; min_by combines before the shuffle."""
+    """SET-06: the first of equal keys; min_by combines before the shuffle."""
     rows = table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("k")).agg(F.min(F.struct("doc_id", "text")).alias("f"))
     return rows.select(F.col("f.doc_id").alias("doc_id"), F.col("f.text").alias("first_text"))
 
@@ -256,7 +256,7 @@ WITH s AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY lang ORD
 SELECT doc_id, lang, k AS place FROM s WHERE k <= 20
 """)
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SMP-01, SMP-03, SMP-04, SMP-05: a seeded sample of 20 per language."""
+    """SMP-05: a seeded sample of 20 per language."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.concat(F.lit("42/"), F.col("doc_id").cast("string"))), "doc_id")).alias("place"))
     return rows.where("place <= 20")
 

@@ -35,11 +35,20 @@ def knn_embeddings_same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(spark, sf_dir)
 
 
-@query("WITH " + _KNN.format(extra="AND a.id % 2 = 0 AND b.id % 2 = 1") + "SELECT left_id, right_id, score, place FROM k")
+#: Ids of the comments, which hold the posts' vectors once more.
+COMMENT_IDS = 1_000_000_000
+
+
+@query(f"""
+WITH u AS (SELECT vec_id AS id, label AS part, [x::DOUBLE for x in embedding] AS v FROM embeddings),
+p AS (SELECT a.id AS left_id, b.id + {COMMENT_IDS} AS right_id, round(list_cosine_similarity(a.v, b.v), 12) AS score FROM u a JOIN u b ON a.part = b.part),
+r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS place FROM p WHERE score > 1e-12)
+SELECT left_id, right_id, round(score, 9) AS score, place FROM r WHERE place <= 5
+""")
 def cross_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-18: even ids are posts and odd ids comments."""
+    """JN-18, JN-12: from all posts to all comments of their language; both tables hold the same vectors."""
     v = _vectors(spark, sf_dir)
-    return V.nearest(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 5, "part").withColumn("score", F.round("score", 9))
+    return V.nearest(v, v.withColumn("id", F.col("id") + F.lit(COMMENT_IDS)), 5, "part").withColumn("score", F.round("score", 9))
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
