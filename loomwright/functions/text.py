@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache, reduce
 from re import _constants, _parser
 
@@ -255,6 +256,16 @@ def hashtags(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)#([\w\-]{1,50})"), F.lit(1))
 
 
+def emojis(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"[\x{1F300}-\x{1FAFF}]"), F.lit(0))
+
+
+def language_or_unknown(text: Column, provided: Column, detect: Callable[[Column], Column] | None = None) -> Column:
+    """The language given, in lower case; else what ``detect`` says of texts of four characters or more; else "unknown"."""
+    found = F.when(F.char_length(strip(text)) >= 4, detect(text)) if detect else F.lit(None)
+    return F.lower(F.coalesce(F.nullif(provided, F.lit("")), found, F.lit("unknown")))
+
+
 def links(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit("(?iU)(" + L.URL + ")"), F.lit(1)), norm_url)
 

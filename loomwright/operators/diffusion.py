@@ -70,6 +70,17 @@ def temporal_checks(created: DataFrame, listings: DataFrame, lineage: DataFrame
     return both.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def temporal_summary(created: DataFrame, listings: DataFrame) -> DataFrame:
+    """One row: both windows in days, their ratio, the cadence of runs in hours, and the checks to act on."""
+    gaps, c = cadence(listings), F.col("created")
+    days = lambda a, b: F.round(hours_between(a, b) / 24, 4)
+    a = created.agg(days(F.min(c), F.max(c)).alias("created_days"), F.round(F.avg(c.isNull().cast("double")), 6).alias("missing_rate"))
+    b = gaps.agg(days(F.min("run_time"), F.max("run_time")).alias("run_days"), F.count(F.lit(1)).alias("runs"), *[F.round(f("gap_hours"), 3).alias(f"gap_{k}") for k, f in (("median", F.median), ("max", F.max), ("min", F.min))])
+    open_checks = temporal_checks(created, listings).where("status <> 'PASS'").agg(F.array_join(F.array_sort(F.collect_list("id")), "|").alias("recommended"))  # of seven checks
+    both = a.join(F.broadcast(b)).join(F.broadcast(open_checks))  # one row each
+    return both.withColumn("ratio", F.when(F.col("run_days") > 0, F.round(F.col("created_days") / F.col("run_days"), 4)))
+
+
 def cadence(listings: DataFrame) -> DataFrame:
     """run_id, run_time and hours since the run before; a row per run."""
     per_run = listings.groupBy("run_id").agg(F.min("run_time").alias("run_time"))

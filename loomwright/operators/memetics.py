@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
@@ -45,6 +45,17 @@ def hourly_series(rows: DataFrame, meme: str, time_col: str, author: str, scope:
     return rows.groupBy(F.date_trunc("hour", F.col(time_col)).alias("hour"), meme, *(scope or [])).agg(F.count(F.lit(1)).alias("count"), F.count_distinct(author).alias("unique_authors"))
 
 
+def token_memes(docs: DataFrame, tokens: Column, kind: str, time_col: str, author: str, community: str) -> DataFrame:
+    """Per hour and token, over all communities and in each: occurrences and distinct authors. Missing names are "unknown"."""
+    rows = docs.select(
+        F.date_trunc("hour", F.col(time_col)).alias("hour"), F.explode(tokens).alias("meme"), F.coalesce(F.col(author).cast("string"), F.lit("unknown")).alias("author"),
+        F.coalesce(F.col(community).cast("string"), F.lit("unknown")).alias("community"),
+    )
+    hour, meme, place = F.col("hour"), F.col("meme"), F.col("community")
+    wide = rows.groupingSets([[hour, meme], [hour, meme, place]], hour, meme, place).agg(F.count(F.lit(1)).alias("count"), F.count_distinct("author").alias("unique_authors"), F.grouping("community").alias("g"))
+    return wide.select("hour", "meme", F.lit(kind).alias("meme_type"), "count", "unique_authors", F.when(F.col("g") == 1, "global").otherwise("submolt").alias("scope"), "community")
+
+
 def lifetimes(rows: DataFrame, meme: str, time_col: str, community: str) -> DataFrame:
     """meme, lifetime in hours, entropy over communities, communities touched."""
     per = rows.groupBy(meme, community).agg(F.count(F.lit(1)).alias("n"), F.min(F.date_trunc("hour", F.col(time_col))).alias("a"), F.max(F.date_trunc("hour", F.col(time_col))).alias("b"))

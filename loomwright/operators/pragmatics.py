@@ -137,8 +137,8 @@ def mad_alert(value: Column, past: Column, threshold: float = 3.5) -> Column:
     return F.coalesce((mad >= 1e-9) & (F.abs(value - mid) / (1.4826 * mad) >= threshold), F.lit(False))
 
 
-def alerts(per_window: DataFrame, community: str, metrics: list[str]) -> DataFrame:
+def alerts(per_window: DataFrame, community: str, metrics: list[str], threshold: float = 3.5) -> DataFrame:
     """alert_* per metric on the community's expanding history of windows."""
     past = Window.partitionBy(community).orderBy("window_start").rowsBetween(Window.unboundedPreceding, -1)
     listed = per_window.select("*", *[F.collect_list(m).over(past).alias(f"__{m}") for m in metrics])
-    return listed.select(*per_window.columns, *[mad_alert(F.col(m), F.col(f"__{m}")).alias(f"alert_{m}") for m in metrics])
+    return listed.select(*per_window.columns, *[mad_alert(F.col(m), F.col(f"__{m}"), threshold).alias(f"alert_{m}") for m in metrics])

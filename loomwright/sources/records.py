@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.functions import text as T
+
 LIST_KEYS = ("data", "results", "items", "posts", "comments")
 POST_FIELDS = {
     "id": ("id", "post_id", "uuid"), "title": ("title", "name"), "body": ("body", "content", "text"), "author_id": ("author_id", "authorId", "author.id"), "author_name": ("author_name", "authorName", "author.name", "author.username"),
@@ -46,6 +48,20 @@ def parquet_columns(spark: SparkSession, path: str, columns: dict[str, str]) ->
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in columns.items()])
 
 
+def found_posts(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """``posts.parquet`` of a folder, else its ``posts.jsonl``, else no rows."""
+    for name, read in (("posts.parquet", spark.read.schema(schema).parquet), ("posts.jsonl", spark.read.schema(schema).option("mode", "DROPMALFORMED").json)):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return read(path.toString())
+    return spark.createDataFrame([], schema)
+
+
+def aligned(meta: DataFrame, vectors: DataFrame, position: str) -> DataFrame:
+    """Meta rows with the vector at their position; rows past the last vector go."""
+    return meta.join(vectors, position)
+
+
 def csv(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", infer).csv(path)
 
@@ -80,10 +96,11 @@ def posts(raw: DataFrame) -> DataFrame:
     return raw.select(*_typed(r, POST_FIELDS), community(r).alias("community"), F.coalesce(F.try_variant_get(r, "$.tags", "array<string>"), F.array().cast("array<string>")).alias("tags"), F.to_json("r").alias("raw"))
 
 
-def comments(raw: DataFrame, post_id: Column | None = None) -> DataFrame:
-    """Comments; one without a post takes the post of the page it was listed on."""
-    found = raw.select(*_typed(F.col("r"), COMMENT_FIELDS), F.to_json("r").alias("raw"))
-    return found if post_id is None else found.withColumn("post_id", F.coalesce(post_id, "post_id"))
+def comments(raw: DataFrame, post_id: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Comments; one without a post takes that of the page it was listed on, which the column ``post_id`` of ``raw`` names."""
+    named = [] if post_id is None else [F.col(post_id).alias("__page_post")]
+    found = raw.select(*keep, *named, *_typed(F.col("r"), COMMENT_FIELDS), F.to_json("r").alias("raw"))
+    return found if post_id is None else found.withColumn("post_id", F.coalesce("post_id", "__page_post")).drop("__page_post")
 
 
 def payload_items(pages: DataFrame, payload: str) -> DataFrame:
@@ -113,6 +130,30 @@ def messages(raw: DataFrame, record_type: str | None = None) -> DataFrame:
     return out.withColumn("comment_id", F.when(F.col("record_type") == "comment", F.col("message_id")))
 
 
+def doc_text(title: Column, body: Column) -> Column:
+    """Title and body as lines, stripped; one that is missing leaves nothing."""
+    return T.strip(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(body, F.lit(""))))
+
+
+def documents_of(posts: DataFrame, comments: DataFrame) -> DataFrame:
+    """Posts (id, title, body, ...) and comments (id, body, ...) as documents; those without a readable time go."""
+    shared = ["author_name", "community", "created_at"]
+    p = posts.select(F.lit("post").alias("doc_type"), F.col("id").alias("doc_id"), *shared, doc_text(F.col("title"), F.col("body")).alias("text"))
+    c = comments.select(F.lit("comment").alias("doc_type"), F.col("id").alias("doc_id"), *shared, T.strip(F.coalesce("body", F.lit(""))).alias("text"))
+    return p.unionByName(c).withColumn("created_at", parsed_time(F.col("created_at"))).where("created_at is not null")
+
+
+def safe_float(text: Column, default: float = 0.0) -> Column:
+    """The number that a text says, else ``default``; a number that isn't finite is none."""
+    v = text.try_cast("double")
+    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(default)).otherwise(F.coalesce(v, F.lit(default)))
+
+
+def safe_int(text: Column, default: int = 0) -> Column:
+    """Like ``safe_float``, cut towards zero."""
+    return safe_float(text, float(default)).cast("long")
+
+
 def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key by an explicit order; copies are combined before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]

@@ -17,8 +17,21 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, header: list[str]) -> None:
-    """The header's columns in its order; those that are missing stay empty."""
-    df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in header]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """The header's columns in its order; those that are missing stay empty. White space at the ends of a value stays."""
+    df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in header]).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def write_labelling_sheet(sample: DataFrame, path: str, predicted: list[str], judged: list[str]) -> None:
+    """A bounded sample for people, as ``csv`` and ``json`` in a folder: pred_* as given, human_* to be filled in."""
+    sheet = sample.select(*[c for c in sample.columns if c not in predicted], *[F.col(c).alias(f"pred_{c}") for c in predicted], *[F.lit("").alias(f"human_{c}") for c in judged])
+    write_csv(sheet, f"{path}/csv", sheet.columns)
+    write_jsonl(sheet, f"{path}/json")
+
+
+def write_progress(spark: SparkSession, path: str, stage: str, detail: str, done: int | None = None, total: int | None = None) -> str:
+    """Write where a run stands as one document, and return the line to print."""
+    write_jsonl(spark.createDataFrame([(stage, detail, done, total)], "stage string, detail string, done long, total long").coalesce(1), path)
+    return f"[progress] {stage}: {detail}" + (f" ({done}/{total}, {100 * done / total:.2f}%)" if done is not None and total else "")
 
 
 def document(df: DataFrame) -> dict:
@@ -58,5 +71,10 @@ def publish(spark: SparkSession, folder: str, target: str, required: list[str],
     return names
 
 
+def hashed(rows: DataFrame, name: str, content: str) -> DataFrame:
+    """An index of evidence: name, length in bytes and SHA-256 of a content column."""
+    return rows.select(name, F.octet_length(content).cast("long").alias("length"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

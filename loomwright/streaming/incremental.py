@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
-def file_stream(spark: SparkSession, path: str, schema: str, form: str = "json", files: int = 100) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema: str | StructType, form: str = "json", files: int = 100) -> DataFrame:
     """New files of a folder; what was read is in the checkpoint, so a restart resumes."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(form).load(path)
 
@@ -34,6 +35,18 @@ def sink(df: DataFrame, path: str, checkpoint: str, mode: str = "append", form:
     return df.writeStream.outputMode(mode).format(form).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes each batch into a folder of its number, so that a repeated batch replaces itself."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last state of each key among the batches written."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in [*keys, "batch"]]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("s")).select(*keys, *[F.col(f"s.{c}").alias(c) for c in rest])
+
+
 def each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Call ``write(batch, number)``; a batch that is repeated has the same number, so that writing can be idempotent."""
     return df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -124,3 +124,49 @@ def test_streams_resume_and_drop_repeats(spark, tmp_path):
     seen = []
     incremental.each_batch(incremental.snapshots(incremental.file_stream(spark, str(source), schema)), lambda df, n: seen.append((n, df.count())), str(tmp_path / "ck2"), "complete").awaitTermination()
     assert seen[-1][1] == 3
+
+
+def test_labelling_sheet_progress_and_found_posts(spark, tmp_path):
+    sample = spark.createDataFrame([("m1", " text, \"x\" ", "Assert", 0.5)], "message_id string, text string, illocution string, warmth double")
+    sinks.write_labelling_sheet(sample, str(tmp_path / "sheet"), ["illocution", "warmth"], ["illocution", "warmth"])
+    row = records.csv(spark, str(tmp_path / "sheet" / "csv")).first().asDict()
+    assert row == {"message_id": "m1", "text": ' text, "x" ', "pred_illocution": "Assert", "pred_warmth": "0.5", "human_illocution": None, "human_warmth": None}
+    assert spark.read.json(str(tmp_path / "sheet" / "json")).first()["human_warmth"] == ""
+    assert sinks.write_progress(spark, str(tmp_path / "progress"), "score", "posts", 1, 4) == "[progress] score: posts (1/4, 25.00%)"
+    assert spark.read.json(str(tmp_path / "progress")).first()["total"] == 4
+    schema = "id string, score long"
+    assert records.found_posts(spark, str(tmp_path), schema).count() == 0
+    write(tmp_path / "posts.jsonl", ['{"id": "a", "score": 1}', "oops", '{"id": "b"}'])
+    assert records.found_posts(spark, str(tmp_path), schema).where("id is not null").count() == 2
+    spark.createDataFrame([("p", 3)], schema).write.parquet(str(tmp_path / "posts.parquet"))
+    assert [tuple(r) for r in records.found_posts(spark, str(tmp_path), schema).collect()] == [("p", 3)]
+
+
+def test_temporal_recommendations_and_numbers(spark):
+    from loomwright.operators import diffusion
+
+    created = spark.createDataFrame([("2024-01-01 00:00:00",), (None,)], "t string").select(F.to_timestamp("t").alias("created"))
+    runs = spark.createDataFrame([("20240101T000000Z", "2024-01-01 00:00:00"), ("20240103T000000Z", "2024-01-03 00:00:00")], "run_id string, t string").select("run_id", F.to_timestamp("t").alias("run_time"))
+    got = diffusion.temporal_summary(created, runs).first()
+    assert (got["created_days"], got["run_days"], got["ratio"], got["gap_median"], got["missing_rate"]) == (0.0, 2.0, 0.0, 48.0, 0.5)
+    assert {"CHK-003", "CHK-004"} <= set(got["recommended"].split("|"))
+    texts = spark.createDataFrame([("3.9",), ("-3.9",), ("x",), (None,), ("NaN",), ("inf",)], "t string")
+    assert [tuple(r) for r in texts.select(records.safe_float(F.col("t")), records.safe_int(F.col("t"))).collect()] == [(3.9, 3), (-3.9, -3), (0.0, 0), (0.0, 0), (0.0, 0), (0.0, 0)]
+
+
+def test_state_needs_a_shared_folder_on_a_cluster():
+    from loomwright.operators import lineage
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: default)
+
+    try:
+        lineage.shared_folder(Session)
+    except ValueError as error:
+        assert "spark.checkpoint.dir" in str(error)
+    else:
+        raise AssertionError("a folder of one machine must not be used on a cluster")
