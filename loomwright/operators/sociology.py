@@ -176,3 +176,11 @@ def concentration(degrees: DataFrame, value: str, share: float) -> DataFrame:
     ranks = F.col("v") * (F.col("c") * F.col("below") + F.col("c") * (F.col("c") + 1) / 2)
     n, total = F.first("n"), F.first("total")
     return rows.agg(n.alias("nodes"), (F.sum(taken) / total).alias("top_share"), (2 * F.sum(ranks) / (n * total) - (n + 1) / n).alias("gini"))
+
+
+def metric_vector(parts: list[DataFrame]) -> DataFrame:
+    """One row of all metrics: parts of one row each, with columns of different names, put side by side without a join."""
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from loomwright.plans import audits, graphs, memetic, pragmatic, records, relational, sources, texts, vectors  # noqa: F401
+    from loomwright.plans import audits, graphs, memetic, metrics, pragmatic, records, relational, sources, texts, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
