@@ -328,7 +328,7 @@ def labelling_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {sql_acts()}, p AS (SELECT doc_id, {_PRED_SQL} AS act FROM f)
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, act, count(*) AS "count", count(DISTINCT user_id) AS unique_authors FROM p JOIN events ON event_id = doc_id WHERE act <> 'unknown' GROUP BY 1, 2""")
 def ritual_hourly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-20: documents by their dominant act and hour; events give time and author."""
+    """AGG-20, STR-33: documents by their dominant act and hour; events give time and author."""
     rows = _predicted(spark, sf_dir).where("act <> 'unknown'").join(table(spark, sf_dir, "events"), F.col("event_id") == F.col("doc_id"))
     return rows.groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("hour"), "act").agg(F.count(F.lit(1)).alias("count"), F.count_distinct("user_id").alias("unique_authors"))
 

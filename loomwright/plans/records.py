@@ -137,6 +137,19 @@ def coerced_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", R.safe_float(F.col("x")).alias("number"), R.safe_int(F.col("x")).alias("whole"), F.to_date(R.parsed_time(F.col("t"))).cast("string").alias("day"))
 
 
+@query(f"""SELECT user_id AS post_id, strftime(ts, '%Y%m%dT%H%M%SZ') AS run_id, CASE WHEN event_id % 9 > 0 THEN value END AS score, CASE WHEN event_id % 4 > 0 THEN event_id % 50 END AS rank, {_STAMP.format('ts')} AS run_time FROM events""")
+def coerced_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-10: snapshot lines whose numbers are text, some of which says none; the time comes from the run's name."""
+    line = F.struct(
+        F.col("user_id").cast("string").alias("post_id"), F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("run_id"), F.when(F.col("event_id") % 9 > 0, F.col("value").cast("string")).otherwise("n/a").alias("score"),
+        F.when(F.col("event_id") % 4 > 0, (F.col("event_id") % 50).cast("string")).otherwise("").alias("rank"),
+    )
+    r = F.col("r")
+    raw = table(spark, sf_dir, "events").select(F.try_parse_json(F.to_json(line)).alias("r"))
+    typed = raw.select(R.field(r, "post_id").try_cast("long").alias("post_id"), R.field(r, "run_id").alias("run_id"), R.field(r, "score").try_cast("double").alias("score"), R.field(r, "rank").try_cast("long").alias("rank"))
+    return typed.withColumn("run_time", _stamp(diffusion.run_time(F.col("run_id"), F.lit(None).cast("timestamp"))))
+
+
 @query("SELECT event_id, event_type, value, user_id % 5 = 0 AS flagged FROM events")
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-01, SRC-01, SRC-03: written as JSON lines in two appends, read tolerantly and strictly; both must agree."""

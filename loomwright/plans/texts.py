@@ -104,6 +104,19 @@ def declaration_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *[c.alias(k) for k, c in T.lexicon_counts(F.col("normal"), L.DECLARATIONS).items()])
 
 
+_SIGNALS = [*ACTS, *L.DECLARATIONS, *MOODS]
+_SIGNAL_COLS = ", ".join([f"{sql_hits(p)} AS {k}" for k, p in L.DECLARATIONS.items()]) + ", " + _MOOD_COLS
+
+
+@query(f"WITH {sql_acts()}, s AS (SELECT doc_id, {_SIGNAL_COLS} FROM n) SELECT doc_id, {', '.join(_SIGNALS)} FROM f JOIN s USING (doc_id)")
+def language_signals_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-13, PRJ-09: acts, declarations, moods and epistemic marks of each text, in one projection over its normal form."""
+    docs = O.normalized(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    normal = F.col("normal")
+    others = T.lexicon_counts(normal, L.DECLARATIONS) | T.lexicon_counts(normal, L.MOODS, "mood_") | T.lexicon_counts(normal, L.EPISTEMICS, "epistemic_")
+    return O.staged(docs, ["doc_id"], T.speech_act_hits(normal) | others, lambda raw: T.speech_acts(F.col("text"), normal, {k: raw[k] for k in raw if k not in others}) | {k: raw[k] for k in others})
+
+
 _INCIDENCE = f"""n AS (SELECT *, {NORMAL} AS t FROM documents),
 h AS (SELECT doc_id, source, text, {sql_hits(L.HUMAN)} AS human, {sql_hits(L.PROMPTS)} AS prompt, {sql_hits(L.TOOLING)} AS tooling, {sql_hits(L.NARRATIVE)} AS narrative FROM n),
 i AS (SELECT doc_id, source, text, human * 2.5::DOUBLE + prompt * 1.5::DOUBLE + narrative * 0.9::DOUBLE + tooling * 0.15::DOUBLE AS human_incidence_score,
@@ -167,7 +180,7 @@ def noise_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_INTERFERENCE} SELECT doc_id, score_semantic FROM i WHERE score_semantic > 0 ORDER BY score_semantic DESC, doc_id LIMIT 50")
 def interference_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOP-02."""
+    """TOP-02, TOP-04."""
     return O.top(interference_rows(spark, sf_dir).where("score_semantic > 0").select("doc_id", "score_semantic"), 50, "score_semantic", "doc_id")
 
 
