@@ -128,7 +128,7 @@ def hawkes(dense: DataFrame, meme: str) -> DataFrame:
         ll = rows.join(p, meme).groupBy(meme).agg(F.sum(F.col("count") * F.ln(lam) - lam - log_factorial).alias("loglik"), F.first("mu").alias("mu"), F.first("alpha").alias("alpha"), F.first("n").alias("hours"), F.first("sy").alias("total_events"))
         one_fit = ll.withColumn("decay", F.lit(decay)).withColumn("branching_ratio", F.col("alpha") / max(1e-6, 1 - decay))
         fits = one_fit if fits is None else fits.unionByName(one_fit)
-    best = fits.where("hours > 2").groupBy(meme).agg(F.max_by(F.struct("mu", "alpha", "decay", "loglik", "branching_ratio", "hours", "total_events"), F.struct("loglik", (-F.col("decay")).alias("d"))).alias("b"))
+    best = fits.where("hours > 2").groupBy(meme).agg(F.max_by(F.struct("mu", "alpha", "decay", "loglik", "branching_ratio", "hours", "total_events"), F.struct(F.round("loglik", 9), (-F.col("decay")).alias("d"))).alias("b"))
     return best.select(meme, "b.*")
 
 

@@ -103,7 +103,7 @@ def posts(messages: DataFrame, scores: DataFrame, edges: DataFrame) -> DataFrame
     top = F.greatest(*[F.col(f"c_{k}") for k in L.CONCERNS])
     mass = sum((F.exp(F.col(f"c_{k}") - top) for k in L.CONCERNS), F.lit(0.0))
     concerns = {f"concern_{k}": F.exp(F.col(f"c_{k}") - top) / mass for k in L.CONCERNS}
-    first = F.array_sort(F.array(*[F.struct((-v).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (k, v) in enumerate(concerns.items())]))
+    first = F.array_sort(F.array(*[F.struct(F.round(-v, 12).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (k, v) in enumerate(concerns.items())]))
     return p.select(
         "post_id", "message_count", *[f"share_{k.lower()}" for k in L.ILLOCUTIONS], *[f"mean_{d}" for d in L.DIMENSIONS], *[f"var_{d}" for d in L.DIMENSIONS], *[v.alias(k) for k, v in concerns.items()],
         clip01(0.35 * c("dominance") + 0.25 * (1 - c("politeness")) + 0.2 * (1 - c("affect_valence")) + 0.2 * F.col("escal")).alias("conflict_index"), clip01(0.6 * c("coordination_intent") + 0.4 * F.col("upt")).alias("coordination_index"),

@@ -142,20 +142,23 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_prompts() -> str:
     rows = [("label", k, t) for k, ts in L.ILLOCUTION_PROMPTS.items() for t in ts] + [(p, k, t) for k, (hi, lo) in L.ANCHORS.items() for p, ts in (("high", hi), ("low", lo)) for t in ts]
+    rows += [("concern", k, t) for k, ts in L.CONCERNS.items() for t in ts]
     return ", ".join(f"('{i}', '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(rows))
 
 
 _TERMS = "(SELECT {i}, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM (SELECT {i}, list_transform(regexp_extract_all(text, '[\\pL\\pN_]{{2,}}'), lambda x: lower(x)) AS w FROM {t}))"
-_SCORES = f"""WITH m AS (SELECT conv_id || '/' || turn AS id, text FROM conversations), n AS (SELECT count(*) AS n FROM m), c AS (SELECT id, term, count(*) AS tf FROM {_TERMS.format(i='id', t='m')} GROUP BY 1, 2),
+_SCORED = f"""WITH m AS (SELECT conv_id || '/' || turn AS id, text FROM conversations), n AS (SELECT count(*) AS n FROM m), c AS (SELECT id, term, count(*) AS tf FROM {_TERMS.format(i='id', t='m')} GROUP BY 1, 2),
 v AS (SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM c, n GROUP BY 1 HAVING count(*) >= 5 ORDER BY sum(tf) DESC, term LIMIT 8000),
 x AS (SELECT id, term, tf * idf AS w FROM c JOIN v USING (term)), u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM x),
 p(prompt, kind, name, text) AS (VALUES {_sql_prompts()}), pc AS (SELECT prompt, term, count(*) AS tf FROM {_TERMS.format(i='prompt', t='p')} GROUP BY 1, 2),
 px AS (SELECT prompt, term, tf * idf AS w FROM pc JOIN v USING (term)), pu AS (SELECT prompt, term, w / sqrt(sum(w * w) OVER (PARTITION BY prompt)) AS pw FROM px),
 s AS (SELECT id, kind, name, sum(w * pw) AS v FROM u JOIN pu USING (term) JOIN p USING (prompt) GROUP BY ALL), z AS (SELECT kind, name, count(*) AS size FROM p GROUP BY 1, 2),
 a AS (SELECT m.id, z.kind, z.name, coalesce(s.v, 0) / size AS v FROM m CROSS JOIN z LEFT JOIN s ON s.id = m.id AND s.kind = z.kind AND s.name = z.name),
-t AS (SELECT id, {', '.join(f"max(v) FILTER (kind = 'label' AND name = '{k}') AS l{i}" for i, k in enumerate(L.ILLOCUTIONS))}, {', '.join(f"max(v) FILTER (kind = 'high' AND name = '{d}') - max(v) FILTER (kind = 'low' AND name = '{d}') AS r_{d}" for d in L.DIMENSIONS)} FROM a GROUP BY 1),
-g AS (SELECT *, greatest({', '.join(f'l{i}' for i in range(6))}) AS top FROM t)
-SELECT id, CASE {' '.join(f"WHEN l{i} = top THEN '{k}'" for i, k in enumerate(L.ILLOCUTIONS))} END AS label, round(1 / ({' + '.join(f'exp(l{i} - top)' for i in range(6))}), 8) AS confidence, {', '.join(f'round(1 / (1 + exp(-5 * r_{d})), 8) AS {d}' for d in L.DIMENSIONS)} FROM g"""
+t AS (SELECT id, {', '.join(f"max(v) FILTER (kind = 'label' AND name = '{k}') AS l{i}" for i, k in enumerate(L.ILLOCUTIONS))}, {', '.join(f"max(v) FILTER (kind = 'high' AND name = '{d}') - max(v) FILTER (kind = 'low' AND name = '{d}') AS r_{d}" for d in L.DIMENSIONS)}, {', '.join(f"max(v) FILTER (kind = 'concern' AND name = '{k}') AS c_{k}" for k in L.CONCERNS)} FROM a GROUP BY 1),
+g AS (SELECT *, greatest({', '.join(f'l{i}' for i in range(6))}) AS top FROM t)"""
+_LABEL = f"CASE {' '.join(f"WHEN l{i} = top THEN '{k}'" for i, k in enumerate(L.ILLOCUTIONS))} END"
+_SCORES = _SCORED + f"""
+SELECT id, {_LABEL} AS label, round(1 / ({' + '.join(f'exp(l{i} - top)' for i in range(6))}), 8) AS confidence, {', '.join(f'round(1 / (1 + exp(-5 * r_{d})), 8) AS {d}' for d in L.DIMENSIONS)} FROM g"""
 
 
 @query(_SCORES)
@@ -165,17 +168,48 @@ def pragmatic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("id", "label", *[F.round(c, 8).alias(c) for c in ("confidence", *L.DIMENSIONS)])
 
 
-@query()
+_CLIP = lambda x: f"greatest(0.0, least(1.0, {x}))"
+_UPTAKE = " OR ".join(f"(a.label = '{a}' AND b.label IN ({', '.join(repr(b) for b in bs)}))" for a, bs in L.UPTAKE.items())
+_EDGES = _SCORED + f""",
+sc AS (SELECT id, {_LABEL} AS label, {', '.join(f"1 / (1 + exp(-5 * r_{d})) AS {d}" for d in L.DIMENSIONS)}, {', '.join(f'c_{k}' for k in L.CONCERNS)} FROM g),
+ms AS (SELECT conv_id AS post_id, conv_id || '/' || turn AS id, CASE WHEN turn > 0 THEN conv_id || '/' || (turn - 1) END AS parent_id, turn FROM conversations),
+li AS (SELECT *, bool_or(parent_id IS NOT NULL) OVER (PARTITION BY post_id) AS replies, lag(id) OVER (PARTITION BY post_id ORDER BY turn, id) AS before FROM ms),
+pr AS (SELECT li.post_id, CASE WHEN replies THEN li.parent_id ELSE before END AS source, li.id AS target, NOT replies AS weak_structure FROM li),
+pj AS (SELECT pr.* FROM pr JOIN ms ON ms.id = source AND ms.post_id = pr.post_id), ct AS (SELECT source, target, sum(x.w * y.w) AS cos FROM pj JOIN u x ON x.id = source JOIN u y ON y.id = target AND y.term = x.term GROUP BY 1, 2),
+sh AS (SELECT post_id, source, target, weak_structure, cos, ({_UPTAKE})::INT::DOUBLE AS uptake, {', '.join(f'b.{d} - a.{d} AS shift_{d}' for d in L.DIMENSIONS)} FROM pj JOIN sc a ON a.id = source JOIN sc b ON b.id = target LEFT JOIN ct USING (source, target)),
+ed AS (SELECT post_id, source, target, weak_structure, uptake, {', '.join(f'shift_{d}' for d in L.DIMENSIONS)},
+  {_CLIP('0.5 + 0.25 * greatest(0, shift_dominance) + 0.2 * greatest(0, -shift_politeness) + 0.2 * greatest(0, -shift_affect_valence) + 0.1 * greatest(0, shift_certainty)')} AS escalation,
+  {_CLIP('0.6 * (coalesce(cos, 0) + 1) / 2 + 0.4 * ' + _CLIP('1 - (' + ' + '.join(f'abs(shift_{d})' for d in L.DIMENSIONS) + f') / {len(L.DIMENSIONS)}'))} AS alignment FROM sh)"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Sums in another order differ in the last digits."""
+    return df.select(*[F.round(c, 8).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+@query(_EDGES + f" SELECT post_id, source, target, weak_structure, uptake, {', '.join(f'round({c}, 8) AS {c}' for c in [*(f'shift_{d}' for d in L.DIMENSIONS), 'escalation', 'alignment'])} FROM ed")
 def interaction_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-05, JN-06, MTH-07."""
     m = _messages(spark, sf_dir)
     scores, terms = P.scored(m)
-    return P.interactions(m, scores, terms)
+    return _rounded(P.interactions(m, scores, terms))
+
+
+_POST_COLUMNS = {
+    **{f"share_{k.lower()}": f"share_{k.lower()}" for k in L.ILLOCUTIONS}, **{f"mean_{d}": f"mean_{d}" for d in L.DIMENSIONS}, **{f"var_{d}": f"var_{d}" for d in L.DIMENSIONS}, **{f"concern_{k}": f"exp(c_{k} - top) / mass" for k in L.CONCERNS},
+    "conflict_index": _CLIP("0.35 * mean_dominance + 0.25 * (1 - mean_politeness) + 0.2 * (1 - mean_affect_valence) + 0.2 * escal"), "coordination_index": _CLIP("0.6 * mean_coordination_intent + 0.4 * upt"),
+    "rigidity_score": _CLIP(f"0.5 * mean_certainty + 0.3 * mean_dominance + 0.2 * (1 - ({' + '.join(f'var_{d}' for d in L.DIMENSIONS)}) / {len(L.DIMENSIONS)} * 4)"), "irony_density": _CLIP("mean_irony"),
+    "dominance_vs_reciprocity": _CLIP("0.5 + (mean_dominance - mean_politeness) * 0.5"), "identity_vs_task_orientation": _CLIP("0.5 + ((1 - mean_coordination_intent) + mean_irony - mean_certainty) * 0.25"),
+}
 
 
-@query()
+@query(_EDGES + f""", ag AS (SELECT post_id, count(*) AS message_count, {', '.join(f"avg((label = '{k}')::INT) AS share_{k.lower()}" for k in L.ILLOCUTIONS)}, {', '.join(f'avg({d}) AS mean_{d}, var_pop({d}) AS var_{d}' for d in L.DIMENSIONS)}, {', '.join(f'avg(c_{k}) AS c_{k}' for k in L.CONCERNS)} FROM ms JOIN sc USING (id) GROUP BY 1),
+ee AS (SELECT post_id, avg(escalation) AS escal, avg(uptake) AS upt FROM ed GROUP BY 1), tp AS (SELECT ag.*, coalesce(escal, 0) AS escal, coalesce(upt, 0.5) AS upt, greatest({', '.join(f'c_{k}' for k in L.CONCERNS)}) AS top FROM ag LEFT JOIN ee USING (post_id)),
+fm AS (SELECT *, {' + '.join(f'exp(c_{k} - top)' for k in L.CONCERNS)} AS mass FROM tp)
+SELECT post_id, message_count, {', '.join(f'round({x}, 8) AS {k}' for k, x in _POST_COLUMNS.items())},
+  [x.k for x in list_sort([{', '.join(f"{{'s': round(-exp(c_{k} - top) / mass, 12), 'i': {i}, 'k': '{k}'}}" for i, k in enumerate(L.CONCERNS))}])[1:3]] AS top_concerns FROM fm""")
 def pragmatic_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-32, AGG-33, MTH-08, TOP-07, TOP-08."""
     m = _messages(spark, sf_dir)
     scores, terms = P.scored(m)
-    return P.posts(m, scores, P.interactions(m, scores, terms))
+    return _rounded(P.posts(m, scores, P.interactions(m, scores, terms)))
