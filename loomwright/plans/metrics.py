@@ -37,11 +37,13 @@ PARTS: list[tuple[str, dict[str, str | tuple[str, str]]]] = [
     ("coverage_quality", {
         "posts_total": _OF("document", "total"), "comments_total": _OF("event", "total"), "comments_min": _time("min(created_min)"), "comments_max": _time("max(created_max)"), "comments_window_hours": _hours("min(created_min)", "max(created_max)"),
     }),
+    ("post_window", {"posts_min": _time("min(first)"), "posts_max": _time("max(last)"), "posts_window_hours": _hours("min(first)", "max(last)")}),
     ("gini_topshare", {"submolts_total": "max(n)", "top5_share": "max(top5_share)", "gini_submolt": "max(gini)"}),
     ("volume_concentration", {"top2_share": "max(top_share)"}),
     ("author_concentration", {"authors_total": "max(n)", "top10_authors_share": "max(top10_share)", "gini_authors": "max(gini)"}),
     ("run_snapshots", {"runs_total": "count(DISTINCT run_id)"}),
     ("lang_distribution", {"top_post_lang": _top("lang", "share"), "top_post_lang_share": "max(share)"}),
+    ("speaker_distribution", {"top_comment_lang": _top("role", "share"), "top_comment_lang_share": "max(share)"}),
     ("meme_classes", {
         "top_meme_life": _top("meme", "lifetime_hours"), "top_meme_life_hours": "max(lifetime_hours)", "top_meme_burst": _top("meme", "burst_score"), "top_meme_burst_score": "max(burst_score)",
         "top_meme_dispersion": _top("meme", "communities_touched"), "top_meme_dispersion_submolts": "max(communities_touched)",
@@ -53,6 +55,7 @@ PARTS: list[tuple[str, dict[str, str | tuple[str, str]]]] = [
     ("concept_cooccurrence", {"top_pair_a": _top("concept_a", "count"), "top_pair_b": _top("concept_b", "count"), "top_pair_count": "max(count)"}),
     ("embedding_distance_ratio", {"pca_ratio_p90_p50": "max(p90_p50)", "pca_rows": "max(communities)"}),
     ("match_summary", {"emb_post_post_mean": "max(mean_score)", "emb_post_post_cross": "max(1 - same_community_rate)"}),
+    ("cross_knn", {"emb_post_comment_mean": "avg(score)", "emb_post_comment_cross": ("avg(if(left_id % 7 = right_id % 7, 0, 1))", "avg(CASE WHEN left_id % 7 = right_id % 7 THEN 0 ELSE 1 END)")}),
     ("threshold_sensitivity", {"threshold_low": "min(threshold)", "threshold_high": "max(threshold)", "threshold_low_pairs": _EDGE("min"), "threshold_high_pairs": _EDGE("max")}),
     ("threshold_knee", {"threshold_knee": "max(threshold)", "threshold_knee_drop": "max(`drop`)"}),
     ("lexical_baseline_auc", {"vsm_auc": "max(auc)"}),
@@ -77,6 +80,19 @@ def author_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.gini_and_shares(table(spark, sf_dir, "lineitem").groupBy("l_suppkey").count(), "count")
 
 
+@query("SELECT min(o_orderdate) AS first, max(o_orderdate) AS last, count(*) AS posts FROM orders")
+def post_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DT-06: first and last time of posts (orders)."""
+    return table(spark, sf_dir, "orders").agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.count(F.lit(1)).alias("posts"))
+
+
+@query("SELECT role, count(*) AS turns, count(*) / (SELECT count(*) FROM conversations WHERE turn > 0) AS share FROM conversations WHERE turn > 0 GROUP BY 1")
+def speaker_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-37 for comments, whose role stands in for their language."""
+    rows = table(spark, sf_dir, "conversations").where("turn > 0").groupBy("role").agg(F.count(F.lit(1)).alias("turns"))
+    return rows.join(F.broadcast(rows.agg(F.sum("turns").alias("all"))), how="cross").select("role", "turns", (F.col("turns") / F.col("all")).alias("share"))  # one row
+
+
 def _sql() -> str:
     parts = [f"(SELECT {', '.join(f'{x if isinstance(x, str) else x[1]} AS {k}' for k, x in metrics.items())} FROM ({_SQL[name]}))".replace("`", '"').replace("max(count)", 'max("count")') for name, metrics in PARTS]
     return "SELECT * FROM " + ", ".join(parts)
