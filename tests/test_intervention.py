@@ -20,7 +20,7 @@ def noisy(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["intervention_candidates", "intervention_events", "intervention_groups", "intervention_robustness", "robust_events"])
+@pytest.mark.parametrize("name", ["intervention_candidates", "intervention_events", "intervention_groups", "intervention_robustness", "robust_events", "strict_events"])
 def test_noisy_texts_equal_sql(spark, noisy, name):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{noisy}/documents.parquet/*.parquet'")
