@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright.operators import stats
 from loomwright.operators import vectors as V
+from loomwright.operators.neighbours import discard, nearest_packed, packed_rows, release, written
 from loomwright.plans.registry import query, table
 from loomwright.plans.texts import TOKENS
 
@@ -99,12 +100,15 @@ n AS (SELECT count(*) AS n FROM documents), t AS (SELECT term, sum(tf) AS total,
 x AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN t USING (term), n), s AS (SELECT doc_id, sqrt(sum(w * w)) AS size FROM x GROUP BY 1), u AS (SELECT doc_id, term, w / size AS w FROM x JOIN s USING (doc_id))"""
 
 
-def _tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _words(docs: DataFrame) -> DataFrame:
     from loomwright.functions import text as T
 
+    return docs.select("doc_id", F.explode(T.tokens(T.clean_text(F.col("text")))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = docs.select("doc_id", F.explode(T.tokens(T.clean_text(F.col("text")))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    rows, _ = V.tfidf(words, "doc_id", docs.count(), 5, 0.95, 1000)
+    rows, _ = V.tfidf(_words(docs), "doc_id", docs.count(), 5, 0.95, 1000)
     return rows
 
 
@@ -119,8 +123,14 @@ def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS place FROM p WHERE score > 1e-12) SELECT left_id, round(score, 6) AS score, place FROM r WHERE place <= 3""")
 def tfidf_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-16: scores by rank; which of two equally near texts stands first isn't part of the result."""
-    rows = _tfidf(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit(0).alias("part"), "index", "value")
-    return V.nearest(rows, rows, 3, "part", width=1000).select("left_id", F.round("score", 6).alias("score"), "place")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spread = docs.repartition("doc_id")  # so that texts move once, not their words
+    counts, path = written(_words(spread), "words")
+    release(spark)
+    rows, _ = V.tfidf(counts, "doc_id", docs.count(), 5, 0.95, 1000)
+    packed = packed_rows(rows.select(F.col("doc_id").alias("id"), "index", "value"))
+    discard(spark, path)
+    return nearest_packed(packed, 3, width=1000).select("left_id", F.round("score", 6).alias("score"), "place")
 
 
 @query(_TFIDF + """, e AS (SELECT list_sort(list(term)) AS l, doc_id FROM u GROUP BY doc_id) SELECT a.doc_id, len(list_intersect(a.l, b.l)) AS shared FROM e a JOIN e b ON b.doc_id = a.doc_id + 1""")
