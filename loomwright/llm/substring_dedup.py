@@ -9,7 +9,9 @@ or more count.
 
 No passage of ``SHORTEST_SPAN`` + 2 ``LONGEST`` - 2 = 190 bytes or more is lost: the first and the last
 ``LONGEST`` hashes inside it give the same cuts in all documents, and what lies between them and the 32 bytes
-before is a span that is long enough. Shorter passages may be lost. Where a text repeats a short pattern, as in
+before is a span that is long enough. Shorter passages may be lost, unless a smaller ``longest`` is given: every passage of
+``shortest`` + 2 ``longest`` - 2 bytes is found, so with 1 each one of ``shortest`` bytes, for about 49 / (``longest`` + 1) times the chunks.
+Where a text repeats a short pattern, as in
 a run of one letter, hashes are equal and chunks are as short as the pattern.
 
 Digests are counted with partial aggregation, so a chunk that a third of all documents share arrives as
@@ -58,41 +60,41 @@ def _inside(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def _least_places(texts: Texts) -> np.ndarray:
-    """The places with the least hash of ``LONGEST`` consecutive ones of a text; hashes that reach before the text don't count."""
+def _least_places(texts: Texts, longest: int = LONGEST) -> np.ndarray:
+    """The places with the least hash of ``longest`` consecutive ones of a text; hashes that reach before the text don't count."""
     n, first, after = len(texts.data), texts.offsets[:-1], texts.offsets[1:]
-    if n < LONGEST:
+    if n < longest:
         return np.zeros(0, np.int64)
     h = gear_hashes(texts.data)
     h[_inside(first, np.minimum(first + WINDOW - 1, after), n)] = 0xFFFFFFFF
     least = (h.astype(U64) << U64(32)) | np.arange(n, dtype=np.uint32)[::-1].astype(U64)
     width = 1
-    while width < LONGEST:
-        step = min(width, LONGEST - width)
+    while width < longest:
+        step = min(width, longest - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    whole = ~_inside(np.maximum(first, after - LONGEST + 1), after, n)[: len(least)]
+    whole = ~_inside(np.maximum(first, after - longest + 1), after, n)[: len(least)]
     places = n - 1 - (least[whole] & U64(0xFFFFFFFF)).astype(np.int64)
     return places[np.diff(places, prepend=-1) > 0]
 
 
-def cut_points(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut_points(texts: Texts, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of every chunk."""
-    ends = np.union1d(_least_places(texts) + 1, texts.offsets[1:][np.diff(texts.offsets) > 0])
+    ends = np.union1d(_least_places(texts, longest) + 1, texts.offsets[1:][np.diff(texts.offsets) > 0])
     if not len(ends):
         return ends, ends, ends
     of = np.searchsorted(texts.offsets, ends, "left") - 1
     return np.maximum(np.concatenate(([0], ends[:-1])), texts.offsets[of]), ends, of
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST) -> DataFrame:
     """One row per chunk: id, start and length in bytes, and the digest of it and the 32 bytes before as two longs."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in text_chunks(batch.column(1)):
-                start, end, of = cut_points(texts)
+                start, end, of = cut_points(texts, longest)
                 begin = np.maximum(start - WINDOW, texts.offsets[of])
                 raw = texts.data.tobytes()
                 digests = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
@@ -107,10 +109,10 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.mapInArrow(run, f"id {kind}, start int, length int, d1 long, d2 long")
 
 
-def _frequent(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _frequent(docs: DataFrame, id_col: str, text_col: str, longest: int) -> DataFrame:
     """At most ``FREQUENT`` digests that are most frequent in a 64th of the documents. They only say what is dealt over many tasks."""
     some = docs.where(F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(64)) == 0)
-    counts = chunks(some, id_col, text_col).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n >= 16")
+    counts = chunks(some, id_col, text_col, longest).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n >= 16")
     return written(counts.orderBy(F.desc("n"), "d1", "d2").limit(FREQUENT).select(F.col("d1").alias("h1"), F.col("d2").alias("h2")), "frequent")
 
 
@@ -121,12 +123,12 @@ def _dealt(rows: DataFrame, frequent: DataFrame, salts: Column) -> DataFrame:
     return marked.select(*rows.columns, salt.alias("salt")).withColumn("d2", F.col("d2").bitwiseXOR(F.col("salt").cast("long"))).drop("salt")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST_SPAN) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST_SPAN, longest: int = LONGEST) -> DataFrame:
     """One row per span of ``shortest`` bytes or more that other documents have too: id, start, length (bytes), n_chunks, first_doc_id, removed_bytes."""
-    table = chunks(docs, id_col, text_col)
+    table = chunks(docs, id_col, text_col, longest)
     shared = table.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("d1", "d2", "first")
     shared = written(shared, "shared")  # so that the shuffle of all digests can go before the next one
-    frequent = _frequent(docs, id_col, text_col)
+    frequent = _frequent(docs, id_col, text_col, longest)
     release(docs.sparkSession)
     place = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("length").cast("long"))
     own = _dealt(table.select("id", place.alias("place"), "d1", "d2"), frequent, F.array(F.pmod(F.xxhash64("id", "place"), F.lit(SALTS)).cast("int")))
@@ -144,8 +146,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans.where(F.col("length") >= shortest).drop("span").withColumnRenamed("id", id_col)
 
 
-def repeated_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST_SPAN) -> DataFrame:
+def repeated_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST_SPAN, longest: int = LONGEST) -> DataFrame:
     """The documents with repeated spans: id, n_spans, n_chunks, repeated_bytes, removed_bytes, first_doc_id."""
-    return repeated_spans(docs, id_col, text_col, shortest).groupBy(id_col).agg(
+    return repeated_spans(docs, id_col, text_col, shortest, longest).groupBy(id_col).agg(
         F.count(F.lit(1)).alias("n_spans"), F.sum("n_chunks").alias("n_chunks"), F.sum("length").alias("repeated_bytes"), F.sum("removed_bytes").alias("removed_bytes"), F.min("first_doc_id").alias("first_doc_id")
     )
