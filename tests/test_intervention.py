@@ -31,3 +31,25 @@ def test_penalty_is_the_operators_default(spark, noisy):
     docs = pragmatic._docs(spark, noisy)
     count = lambda **x: intervention.candidates(intervention.scored(docs, **x), pragmatic.LEAST).count()
     assert (count(), count(penalty=0.0)) == (2, 4)
+
+
+@pytest.fixture(scope="module")
+def nameless(spark, tmp_path_factory):
+    """Pairs of equal texts: of one the language is missing and "unknown", of the other the source."""
+    folder = tmp_path_factory.mktemp("nameless")
+    rows = [(0, "api one", None, "s"), (1, "api one", "unknown", "s"), (2, "api two", "en", None), (3, "api two", "en", "unknown")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["intervention_groups"])
+def test_missing_names_equal_sql(spark, nameless, name):
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{nameless}/documents.parquet/*.parquet'")
+    compare(registry.queries()[name](spark, nameless), registry.oracle_sql()[name], duck)
+
+
+def test_missing_names_are_unknown_by_default(spark, nameless):
+    rows = intervention.candidates(intervention.scored(pragmatic._docs(spark, nameless)), pragmatic.LEAST)
+    count = lambda **x: sorted((r.unique_authors, r.unique_communities) for r in intervention.groups(rows, **x).collect())
+    assert (count(), count(missing=None)) == ([(1, 1), (1, 1)], [(1, 2), (2, 1)])
