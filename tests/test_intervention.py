@@ -42,7 +42,7 @@ def nameless(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["intervention_groups", "intervention_events", "intervention_robustness", "robust_events"])
+@pytest.mark.parametrize("name", ["intervention_groups", "intervention_events", "intervention_robustness", "robust_events", "strict_events"])
 def test_missing_names_equal_sql(spark, nameless, name):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{nameless}/documents.parquet/*.parquet'")
