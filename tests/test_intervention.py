@@ -53,3 +53,20 @@ def test_missing_names_are_unknown_by_default(spark, nameless):
     rows = intervention.candidates(intervention.scored(pragmatic._docs(spark, nameless)), pragmatic.LEAST)
     count = lambda **x: sorted((r.unique_authors, r.unique_communities) for r in intervention.groups(rows, **x).collect())
     assert (count(), count(missing=None)) == ([(1, 1), (1, 1)], [(1, 2), (2, 1)])
+
+
+@pytest.fixture(scope="module")
+def halves(spark, tmp_path_factory):
+    """64 equal texts whose coordination index is 0.5103125: a half in the seventh digit."""
+    folder = tmp_path_factory.mktemp("halves")
+    langs = [lang for lang, n in zip("abcdefg", [19, 8, 8, 8, 7, 7, 7], strict=True) for _ in range(n)]
+    rows = [(i, "api one", lang, "s") for i, lang in enumerate(langs)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["intervention_groups", "intervention_events"])
+def test_halves_are_rounded_as_in_sql(spark, halves, name):
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{halves}/documents.parquet/*.parquet'")
+    compare(registry.queries()[name](spark, halves), registry.oracle_sql()[name], duck)
