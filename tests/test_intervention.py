@@ -65,7 +65,7 @@ def halves(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["intervention_groups", "intervention_events"])
+@pytest.mark.parametrize("name", ["intervention_groups", "intervention_events", "strict_events"])
 def test_halves_are_rounded_as_in_sql(spark, halves, name):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{halves}/documents.parquet/*.parquet'")
