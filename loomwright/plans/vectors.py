@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomwright.operators import stats
 from loomwright.operators import vectors as V
-from loomwright.operators.neighbours import discard, nearest_packed, packed_rows, release, written
+from loomwright.operators.neighbours import nearest_packed
+from loomwright.operators.terms import packed_tfidf
 from loomwright.plans.registry import query, table
 from loomwright.plans.texts import TOKENS
 
@@ -123,13 +124,8 @@ def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS place FROM p WHERE score > 1e-12) SELECT left_id, round(score, 6) AS score, place FROM r WHERE place <= 3""")
 def tfidf_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-16: scores by rank; which of two equally near texts stands first isn't part of the result."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spread = docs.repartition("doc_id")  # so that texts move once, not their words
-    counts, path = written(_words(spread), "words")
-    release(spark)
-    rows, _ = V.tfidf(counts, "doc_id", docs.count(), 5, 0.95, 1000)
-    packed = packed_rows(rows.select(F.col("doc_id").alias("id"), "index", "value"))
-    discard(spark, path)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    packed = packed_tfidf(docs, 5, 0.95, 1000)
     return nearest_packed(packed, 3, width=1000).select("left_id", F.round("score", 6).alias("score"), "place")
 
 
